@@ -5,30 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievestone.catalog import sqltext as q
+from sievestone.catalog.register import registry, rounded
 from sievestone.catalog.tables import SALES_COLUMNS as COLS
 from sievestone.catalog.tables import SALES_NUMBERS as NUMS
 from sievestone.catalog.tables import SALES_SQL, SALES_TEXTS, read, sales
-from sievestone.functions.columns import named
 from sievestone.operators import detect, inject
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(function):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return register
-
-
-def _round(df, digits=4, columns=None):
-    columns = columns or [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.select(*[F.round(named(c), digits).alias(c) if c in columns else named(c) for c in df.columns])
-
+QUERIES, SQL, query = registry()
 
 MISSING = f"WITH {SALES_SQL}, {q.with_missing('sales', 'dirty', COLS, COLS, 0.05, 7)} "
 OUTLIER = f"WITH {SALES_SQL}, {q.with_outliers('sales', 'dirty', COLS, NUMS, 0.04, 11)} "
@@ -63,7 +46,7 @@ LABEL_HASH = q.md5_of("19/class", "b.row_id")
 
 @query("inject_label_errors", f"""WITH {SALES_SQL}, {q.picked_rows('sales', 'hit', 0.1, 19)},
  classes AS (SELECT list(status ORDER BY status) AS all_classes FROM (SELECT DISTINCT status FROM sales))
- SELECT b.row_id, CASE WHEN hit.row_id IS NULL THEN b.status ELSE list_filter(all_classes, c -> c <> b.status)
+ SELECT b.row_id, CASE WHEN hit.row_id IS NULL THEN b.status ELSE list_filter(all_classes, lambda c: c <> b.status)
   [CAST({q.below(LABEL_HASH, '(len(all_classes) - 1)')} AS BIGINT) + 1] END AS status
  FROM sales b CROSS JOIN classes LEFT JOIN hit ON hit.row_id = b.row_id""")
 def _(spark, sf):
@@ -98,7 +81,7 @@ def _(spark, sf):
 @query("inject_random_flips", f"""WITH {SALES_SQL}, classes AS (SELECT list(status ORDER BY status) AS all_classes
  FROM (SELECT DISTINCT status FROM sales))
  SELECT b.row_id, CASE WHEN {q.unit(q.md5_of(29, 'b.row_id'))} >= 0.05 THEN b.status ELSE
- list_filter(all_classes, c -> c <> b.status)[CAST({q.below(q.md5_of('29/class', 'b.row_id'), '(len(all_classes) - 1)')}
+ list_filter(all_classes, lambda c: c <> b.status)[CAST({q.below(q.md5_of('29/class', 'b.row_id'), '(len(all_classes) - 1)')}
  AS BIGINT) + 1] END AS status FROM sales b CROSS JOIN classes""")
 def _(spark, sf):
     return inject.flip_labels(sales(spark, sf), "row_id", "status", 0.05, 29).frame.select("row_id", "status")
@@ -161,14 +144,14 @@ def _(spark, sf):
  round(sum({' + '.join(f'({c} IS NULL)::INT' for c in COLS)}) / (count(*) * 6.0), 6) AS rate FROM dirty""")
 def _(spark, sf):
     dirty = inject.inject_missing(sales(spark, sf), "row_id", COLS, 0.05, 7).frame
-    return _round(detect.missing_rates(dirty, COLS), 6)
+    return rounded(detect.missing_rates(dirty, COLS), 6)
 
 
 @query("detect_missing_by_column", MISSING + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS missing, round(count(*) FILTER (WHERE {c} IS NULL) / count(*)::DOUBLE, 6) AS rate FROM dirty" for c in COLS))
 def _(spark, sf):
     dirty = inject.inject_missing(sales(spark, sf), "row_id", COLS, 0.05, 7).frame
-    return _round(detect.missing_by_column(dirty, COLS), 6)
+    return rounded(detect.missing_by_column(dirty, COLS), 6)
 
 
 @query("detect_missing_cells", MISSING + " UNION ALL ".join(
@@ -195,7 +178,7 @@ def _(spark, sf):
 @query("document_duplicate_rate", """SELECT count(*) - count(DISTINCT (text, lang)) AS duplicate_rows, count(*) AS rows,
  round((count(*) - count(DISTINCT (text, lang))) / count(*)::DOUBLE, 6) AS rate FROM documents""")
 def _(spark, sf):
-    return _round(detect.duplicate_rate(read(spark, sf, "documents"), ["text", "lang"]), 6)
+    return rounded(detect.duplicate_rate(read(spark, sf, "documents"), ["text", "lang"]), 6)
 
 
 @query("detect_outlier_fences", OUTLIER + f", {q.fences('dirty', 'f', NUMS)} " + " UNION ALL ".join(
@@ -203,14 +186,14 @@ def _(spark, sf):
     f"count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS flagged_cells FROM dirty, f WHERE f.col = '{c}'" for c in NUMS))
 def _(spark, sf):
     dirty = inject.inject_outliers(sales(spark, sf), "row_id", COLS, 0.04, 11).frame
-    return _round(detect.outliers_by_column(dirty, detect.fences(dirty, NUMS)[0]), 2)
+    return rounded(detect.outliers_by_column(dirty, detect.fences(dirty, NUMS)[0]), 2)
 
 
 @query("detect_outlier_cells", OUTLIER + f", {q.fences('dirty', 'f', NUMS)} " + " UNION ALL ".join(
     f"SELECT row_id, '{c}' AS \"column\", round({c}, 2) AS value FROM dirty, f WHERE f.col = '{c}' AND ({c} < lo OR {c} > hi)" for c in NUMS))
 def _(spark, sf):
     dirty = inject.inject_outliers(sales(spark, sf), "row_id", COLS, 0.04, 11).frame
-    return _round(detect.outlier_cells(dirty, "row_id", detect.fences(dirty, NUMS)[0]), 2)
+    return rounded(detect.outlier_cells(dirty, "row_id", detect.fences(dirty, NUMS)[0]), 2)
 
 
 @query("lineitem_outlier_rate", f"""WITH {q.fences('lineitem', 'f', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])},
@@ -225,7 +208,7 @@ def _(spark, sf):
 def _(spark, sf):
     items = read(spark, sf, "lineitem")
     numbers = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return _round(detect.outlier_rates(items, detect.fences(items, numbers)[0]), 6)
+    return rounded(detect.outlier_rates(items, detect.fences(items, numbers)[0]), 6)
 
 
 @query("zscore_outliers", OUTLIER + ", s AS (SELECT " + ", ".join(
@@ -277,4 +260,4 @@ def _(spark, sf):
  (("column" = 'segment' AND value = c.segment) OR ("column" = 'priority' AND value = c.priority)))) AS variant_rows FROM cased c)
  SELECT variant_rows, rows, round(variant_rows / rows::DOUBLE, 6) AS rate FROM f""")
 def _(spark, sf):
-    return _round(detect.case_variant_rate(_cased(spark, sf), ["segment", "priority"]), 6)
+    return rounded(detect.case_variant_rate(_cased(spark, sf), ["segment", "priority"]), 6)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PREFIX_DIGITS = 4  # hex digits counted per step: at most 65,536 counts per group come back to the driver
+PREFIX_DIGITS = 3  # hex digits counted per step: at most 4,096 counts per group come back to the driver
+GROUP_ROWS = 2_000_000  # rows one task orders at most when numbering rows in hash order
 SLICES = 200       # value ranges a running total is cut into on large inputs
 SMALL_ROWS = 200_000  # below this many distinct values one task sorts them all
 
@@ -133,13 +134,16 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
 
 def hash_ranks(df: DataFrame, hashed: str, output: str) -> DataFrame:
     """Adds the 1-based position of each row in hash order. Hash prefixes cut the rows into even groups; the group
-    starts (at most 65,536 numbers) are broadcast and each task orders only its own groups."""
-    prefixed = df.withColumn("_prefix", F.substring(hashed, 1, PREFIX_DIGITS))
-    counts = prefixed.groupBy("_prefix").count().collect()
+    starts (at most 16**5 numbers) are broadcast and each task orders only its own groups."""
+    for digits in (PREFIX_DIGITS, 5):
+        prefixed = df.withColumn("_prefix", F.substring(hashed, 1, digits))
+        counts = sorted((row["_prefix"], row["count"]) for row in prefixed.groupBy("_prefix").count().collect())
+        if max((n for _, n in counts), default=0) <= GROUP_ROWS:
+            break
     starts, so_far = [], 0
-    for row in sorted(counts, key=lambda row: row["_prefix"]):
-        starts.append((row["_prefix"], so_far))
-        so_far += row["count"]
+    for prefix, count in counts:
+        starts.append((prefix, so_far))
+        so_far += count
     lookup = F.broadcast(df.sparkSession.createDataFrame(starts, "_prefix string, _start long"))
     inside = W.partitionBy("_prefix").orderBy(hashed)
     return prefixed.join(lookup, "_prefix").withColumn(

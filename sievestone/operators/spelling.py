@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievestone.functions.columns import any_of, broadcast_checked, count_when, named
 
@@ -36,7 +37,7 @@ INNER_SEPARATORS = re.compile(r"(?<=\w)[\s_\-.]+(?=\w)")
 BLANKS = re.compile(r"\s+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def value_key(values: pd.Series) -> pd.Series:
     """Comparison form: accents and case removed, outer decoration dropped, inner separators made one blank. Symbols
     that carry meaning stay. Runs on distinct values only."""
@@ -53,13 +54,13 @@ def is_one_edit(a: Column, b: Column) -> Column:
     """Exactly one insert, delete, substitution or adjacent swap apart, with no digit involved."""
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     places = F.filter(F.sequence(F.lit(1), longer), lambda i: ~F.substr(a, i, F.lit(1)).eqNullSafe(F.substr(b, i, F.lit(1))))
-    at = F.element_at(places, 1)
+    at = F.get(places, F.lit(0))
     a_at, b_at = F.substr(a, at, F.lit(1)), F.substr(b, at, F.lit(1))
     a_next, b_next = F.substr(a, at + 1, F.lit(1)), F.substr(b, at + 1, F.lit(1))
     digit = r"^\d$"
     same_length = F.length(a) == F.length(b)
     substituted = same_length & (F.size(places) == 1) & ~a_at.rlike(digit) & ~b_at.rlike(digit)
-    swapped = (same_length & (F.size(places) == 2) & (F.element_at(places, -1) == at + 1)
+    swapped = (same_length & (F.size(places) == 2) & (F.get(places, F.lit(1)) == at + 1)
                & (a_at == b_next) & (a_next == b_at) & ~a_at.rlike(digit) & ~b_at.rlike(digit))
     long_text = F.when(F.length(a) > F.length(b), a).otherwise(b)
     short_text = F.when(F.length(a) > F.length(b), b).otherwise(a)
