@@ -36,12 +36,12 @@ def knn_cells(df: DataFrame, row_id: str, columns: list[str], k: int = NEIGHBOUR
         ((named(c) - F.lit(means[i])) / F.lit(spreads[i])).alias(f"z{i}") for i, c in enumerate(columns)])
     places = [columns.index(c) for c in fill]
     needs = scaled.filter(any_of(F.col(f"z{i}").isNull() for i in places))
-    asking = needs.withColumn("deal", F.pmod(F.xxhash64("row_id"), F.lit(DEALS)))
-    giving = scaled.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).cast("long"))
+    asking = needs.withColumn("deal", F.pmod(F.xxhash64("row_id"), F.lit(DEALS)).cast("int")).withColumn("asks", F.lit(True))
+    giving = scaled.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).withColumn("asks", F.lit(False))
     fields = [f"z{i}" for i in range(len(columns))]
 
-    def impute(asked: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        donors = donors.sort_values("row_id")
+    def impute(dealt: pd.DataFrame) -> pd.DataFrame:
+        asked, donors = dealt[dealt["asks"]], dealt[~dealt["asks"]].sort_values("row_id")
         bank, bank_ids = donors[fields].to_numpy(float), donors["row_id"].to_numpy()
         known = ~np.isnan(bank)
         filled = np.where(known, bank, 0.0)
@@ -70,5 +70,4 @@ def knn_cells(df: DataFrame, row_id: str, columns: list[str], k: int = NEIGHBOUR
                     out.append((int(block["row_id"].iloc[r]), columns[j], value * spreads[j] + means[j]))
         return pd.DataFrame(out, columns=["row_id", "column", "value"])
 
-    return asking.groupBy("deal").cogroup(giving.groupBy("deal")).applyInPandas(
-        impute, "row_id long, column string, value double")
+    return asking.unionByName(giving).groupBy("deal").applyInPandas(impute, "row_id long, column string, value double")
