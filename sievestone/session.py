@@ -17,6 +17,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call-site capture makes every expression slow
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
