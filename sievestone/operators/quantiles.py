@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IN_TASK_ROWS = 3_000_000  # up to here the built-in percentile (one map of distinct values per column) is safe
-BUCKETS = 2048            # buckets per refinement step
+IN_TASK_ROWS = 100_000  # up to here the built-in percentile (one map of distinct values per column) is quick and safe
+BUCKETS = 2048          # buckets per refinement step
+COLLECT_ROWS = 100_000  # rows left in all open intervals before their distinct values are read directly
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], in_task_rows: int | None = None) -> dict:
@@ -57,36 +58,44 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], in_t
 
 def _order_statistics(slim: DataFrame, targets: dict) -> dict:
     """The k-th smallest value (0-based) of column i for each target (i, k)."""
-    found = {}
+    found, inside = {}, None
     while targets:
         for key in [key for key, (lo, hi, _) in targets.items() if lo == hi]:
             found[key] = targets.pop(key)[0]
         if not targets:
             break
         intervals = sorted({(i, lo, hi) for (i, _), (lo, hi, _) in targets.items()})
-        items = []
-        for number, (i, lo, hi) in enumerate(intervals):
-            value = F.col(f"v{i}")
-            width = (hi - lo) / BUCKETS
-            bucket = F.least(F.lit(BUCKETS - 1), F.floor((value - F.lit(lo)) / F.lit(width))).cast("int")
-            items.append(F.when(value.between(lo, hi), F.struct(
-                F.lit(number).alias("interval"), bucket.alias("bucket"), value.alias("value"))))
-        cells = slim.select(F.explode(F.filter(F.array(*items), lambda item: item.isNotNull())).alias("c")).select("c.*")
-        counted = cells.groupBy("interval", "bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-        buckets: dict = {}
-        for row in sorted(counted, key=lambda row: row["bucket"]):
-            buckets.setdefault(row["interval"], []).append(row)
+        finish = inside is not None and sum(inside[interval] for interval in intervals) <= COLLECT_ROWS
+        counted = _bucket_counts(slim, intervals, finish)
         number_of = {interval: number for number, interval in enumerate(intervals)}
+        inside = {}
         for (i, k), (lo, hi, before) in list(targets.items()):
-            for row in buckets[number_of[(i, lo, hi)]]:
+            for row in counted[number_of[(i, lo, hi)]]:
                 if k < before + row["n"]:
                     targets[(i, k)] = (row["lo"], row["hi"], before)
+                    inside[(i, row["lo"], row["hi"])] = row["n"]
                     break
                 before += row["n"]
     return found
 
 
+def _bucket_counts(slim: DataFrame, intervals: list[tuple], finish: bool) -> dict[int, list]:
+    """Rows per bucket of each open interval, in value order; per distinct value when `finish`. The intervals of a column
+    do not overlap, so each cell falls into at most one."""
+    chains: dict[int, list[str]] = {}
+    for number, (i, lo, hi) in enumerate(intervals):
+        bucket = "0" if finish else f"least({BUCKETS - 1}, cast(floor((v{i} - {lo!r}D) / {(hi - lo) / BUCKETS!r}D) as int))"
+        chains.setdefault(i, []).append(f"WHEN v{i} >= {lo!r}D AND v{i} <= {hi!r}D THEN named_struct('interval', {number}, 'bucket', {bucket}, 'value', v{i})")
+    cells = slim.select(F.expr("explode(array(" + ", ".join(f"CASE {' '.join(parts)} END" for parts in chains.values()) + "))").alias("c"))
+    cells = cells.filter("c is not null").select("c.*")
+    keys = ["interval", "value"] if finish else ["interval", "bucket"]
+    rows = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(cells["value"]).alias("lo"), F.max(cells["value"]).alias("hi")).collect()
+    counted: dict[int, list] = {}
+    for row in sorted(rows, key=lambda row: row["lo"]):
+        counted.setdefault(row["interval"], []).append(row)
+    return counted
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     from sievestone.functions.columns import named
 

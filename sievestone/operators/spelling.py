@@ -87,6 +87,7 @@ def value_dictionary(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list
     dictionary shuffle; the exact rule then runs on the dictionary itself.
     """
     from sievestone.operators.detect import value_counts
+    from sievestone.session import cut_lineage
 
     if not columns:
         raise ValueError("no text columns")
@@ -99,7 +100,7 @@ def value_dictionary(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list
     if not near:
         empty = df.sparkSession.createDataFrame([], "column string, value string, key string, n long")
         return empty, [], skipped, filled
-    counted = value_counts(df, near)
+    counted = cut_lineage(value_counts(df, near))
     raw_sizes = {row["column"]: row["n"] for row in
                  counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     for c in near:
