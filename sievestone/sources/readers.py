@@ -107,8 +107,13 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     whether the comma is the decimal mark."""
     info = sniff(_head(spark, path))
     schema = T.StructType([T.StructField(name, T.StringType()) for name in info["header"]])
-    df = spark.read.csv(path, sep=info["delimiter"], encoding=info["encoding"], header=True, schema=schema, enforceSchema=True,
-                        multiLine=False, escape='"', mode="PERMISSIVE")
+    western = info["encoding"] == "windows-1252"  # Spark reads it as ISO-8859-1, which differs in the control range only
+    df = spark.read.csv(path, sep=info["delimiter"], encoding="ISO-8859-1" if western else info["encoding"], header=True, schema=schema,
+                        enforceSchema=True, multiLine=False, escape='"', mode="PERMISSIVE")
+    if western:
+        pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        seen, shown = "".join(a for a, b in pairs if b), "".join(b for _, b in pairs if b)
+        df = df.select(*[F.translate(named(c), seen, shown).alias(c) for c in info["header"]])
     info["decimal"] = "."
     if info["delimiter"] == ";":
         aggregates = [e for i, c in enumerate(info["header"]) for e in (
