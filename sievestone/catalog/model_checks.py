@@ -434,13 +434,13 @@ def _(spark, sf):
 @query("model_panel")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_outliers(labelled(spark, sf), "row_id", NUMBERS, 0.1, 3).frame)
-    return compare.run_panel(hurt, CLASSES, ("logistic", "random_forest"), (42, 43), ("outliers", "duplicates"), TREES, 3)
+    return compare.run_panel(hurt, CLASSES, ("logistic", "random_forest"), (42, 43), ("outliers",), TREES, 3)
 
 
 @query("arm_interaction")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_outliers(labelled(spark, sf), "row_id", NUMBERS, 0.1, 3).frame)
-    return compare.arm_interaction(compare.run_panel(hurt, CLASSES, ("logistic",), (42, 43), ("outliers", "duplicates"), TREES, 3))
+    return compare.arm_interaction(compare.run_panel(hurt, CLASSES, ("logistic",), (42,), ("outliers", "duplicates"), TREES, 3))
 
 
 @query("regression_panel")
