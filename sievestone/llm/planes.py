@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievestone.llm.bpe import BORDER, LONG_PIECE, Kept
+from sievestone.llm.bpe import BORDER, KEEP, MARKS
 from sievestone.llm.shared import map_arrow, scratch, ship
 
 MAGIC, VERSION, BLOCK_IDS, SHARD_IDS, NO_ID = b"BPLN", 1, 1 << 16, 1 << 21, -(1 << 63)
@@ -92,8 +92,9 @@ def read_shard(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 class Tokens:
-    """Ids of texts by a tokenizer file; repeated words are kept in a bounded table. A space between two characters that are not white
-    space begins a piece of the tokenizer, so texts are encoded word by word."""
+    """Ids of texts by a tokenizer file; repeated words are kept in two generations of KEEP entries. A space between two characters that
+    are not white space begins a piece of the tokenizer, so texts are encoded word by word. New words of letters only are encoded
+    in one call, joined by spaces: each begins with the only token that starts with a space."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,28 +102,55 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.words = Kept(lambda w: self.batch([" " + w])[0], lambda w: True)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # how the vocabulary writes a space
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith(space)]] = True
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self.each(list(MARKS))))
+
+    def each(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, "<u4") if words else np.zeros(0, "<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):
+            return self.each([" " + w for w in words])
+        data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
+        return [data[s:e] for s, e in zip((starts * 4).tolist(), ends)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Words not met before are encoded in one call."""
         parts = [BORDER.split(t) for t in texts]
-        words, long = self.words, {}
-        fresh = list({w for p in parts for w in p[1:] if w not in words and w not in words.old})
-        first = [p[0] for p in parts]
-        made = self.batch([*first, *(" " + w for w in fresh)])
-        for word, ids in zip(fresh, made[len(first):]):
-            long[word] = ids
-        get = lambda w: long[w] if w in long else words[w]
-        out = [b"".join([head, *map(get, p[1:])]) for head, p in zip(made, parts)]
-        words.make = long.__getitem__
-        for word in fresh:
-            if len(word) <= LONG_PIECE:
-                words[word]
-        words.make = lambda w: self.batch([" " + w])[0]
-        return out
+        if len(self.words) > KEEP:
+            self.old, self.words = self.words, {}
+        words, old, seen, letters, other, marked = self.words, self.old, set(), set(), [], []
+        for p in parts:
+            seen.update(p[1:])
+        for w in seen:
+            if w in words:
+                continue
+            if (known := old.get(w)) is not None:
+                words[w] = known
+            elif w.isalpha():
+                letters.add(w)
+            elif w[-1] in MARKS and w[:-1].isalpha():
+                marked.append(w)
+                base = w[:-1]
+                if base not in words:
+                    if base in old:
+                        words[base] = old[base]
+                    else:
+                        letters.add(base)
+            else:
+                other.append(w)
+        fresh = list(letters)
+        words.update(zip(fresh, self.joined(fresh)))
+        heads = self.each([*(p[0] for p in parts), *(" " + w for w in other)])
+        words.update(zip(other, heads[len(parts):]))
+        words.update((w, words[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        return [b"".join([head, *map(words.__getitem__, p[1:])]) for head, p in zip(heads, parts)]
 
 
 _TOKENS: dict[int, Tokens] = {}
@@ -150,8 +178,8 @@ def _shards(shared, end_id: int, kind: str):
             return pa.RecordBatch.from_arrays(row, names=["task", "number", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = [x.as_py() or "" for x in part.column(1)]
                 for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(texts)):
                     ids += end
