@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.llm.shared import components, map_arrow, map_pandas, mix, odd_numbers, shingle_hashes, text_bytes, word_hashes
+from sievestone.llm.shared import components, map_arrow, map_pandas, mix, odd_numbers, shingle_hashes, slices, text_bytes, word_hashes
 from sievestone.session import cut_lineage
 
 SIDE, WIDTH, BITS = 10, 2, 128
@@ -44,7 +44,7 @@ def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = odd_numbers(11, BITS)
         salt = odd_numbers(12, 2 * SIDE)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = _sets(batch, size)
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
@@ -82,7 +82,7 @@ def _signatures(size: int):
 
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = _sets(batch, size)
             borders = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)

@@ -70,6 +70,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[borders[0]:borders[-1]], borders - borders[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `size` bytes of text, or one longer text, so that working memory doesn't follow the batch."""
+    borders = text_bytes(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(borders, borders[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
