@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sievestone.llm.shared import ship
 
-KEEP = 500_000
+KEEP = 150_000
 LONG_PIECE = 200
 MARKS = ".,;:!?"
 BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -90,7 +90,7 @@ class Encoder:
         key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= KEEP:
+            if len(self.fits) >= 2 * KEEP:
                 self.fits.clear()
             known = self.fits[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known

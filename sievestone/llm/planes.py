@@ -31,10 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievestone.llm.bpe import BORDER, KEEP, MARKS
+from sievestone.llm.bpe import BORDER, MARKS
 from sievestone.llm.shared import map_arrow, scratch, ship
 
 MAGIC, VERSION, BLOCK_IDS, SHARD_IDS, NO_ID = b"BPLN", 1, 1 << 16, 1 << 21, -(1 << 63)
+KEEP = 500_000
 HEAD = struct.Struct("<4sBBBBIQII")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.llm.shared import map_arrow, ship
+from sievestone.llm.shared import map_arrow, ship, slices
 
 SAMPLE, FOLDS = 40_000, 5
 LEAST_DOCS, LEAST_ODDS, LONGEST = 4, 2.0, 10
@@ -167,14 +167,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], frozens
     return lexicon, exceptions, logistic(points[["x1", "x2"]].to_numpy(), (points["toxic"] > 0).to_numpy(float))
 
 
-def _scores(shared):
+def _scores(shared, position: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, exceptions, (a, b, c) = shared.value
         automaton = _automaton(lexicon)
-        for batch in batches:
-            x = np.array([_signals(t.as_py(), automaton, exceptions) for t in batch.column(batch.num_columns - 1)]).reshape(-1, 2)
+        for batch in (part for whole in batches for part in slices(whole, position)):
+            x = np.array([_signals(t.as_py(), automaton, exceptions) for t in batch.column(position)]).reshape(-1, 2)
             score = 1 / (1 + np.exp(-np.clip(a * x[:, 0] + b * x[:, 1] + c, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(score, pa.float64())], names=[*batch.schema.names[:kept], "toxicity"])
     return run
 
 
@@ -182,7 +182,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text); labels has (doc_id, toxic)."""
     model = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scores(shared), "doc_id long, toxicity double")
+    scored = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scores(shared, 1, 1), "doc_id long, toxicity double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -191,5 +191,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) + ", toxicity double"
     carried = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    scored = map_arrow(carried.withColumn("_text", F.col(f"c{docs.columns.index('text')}")), _scores(shared), schema)
+    scored = map_arrow(carried, _scores(shared, docs.columns.index("text"), len(docs.columns)), schema)
     return scored.filter("toxicity < 0.5").drop("toxicity").toDF(*docs.columns)
