@@ -67,8 +67,11 @@ def fit_encoder(train: DataFrame, numbers: list[str], texts: list[str], scale: b
 
 
 def classes_of(df: DataFrame, target: str) -> list[str]:
-    """The sorted classes (a bounded number: the typing step refuses more than twenty)."""
-    return sorted(r[0] for r in df.filter(named(target).isNotNull()).select(named(target).cast("string")).distinct().limit(1001).collect())
+    """The sorted classes; more than a thousand are refused, not cut (the typing step already refuses more than twenty)."""
+    found = sorted(r[0] for r in df.filter(named(target).isNotNull()).select(named(target).cast("string")).distinct().limit(1001).collect())
+    if len(found) > 1000:
+        raise ValueError(f"{target} has more than 1000 classes")
+    return found
 
 
 def class_code(target: str, classes: list[str]) -> Column:
