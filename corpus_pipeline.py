@@ -19,7 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
+    copies = minhash.near_duplicates(docs, shingle=5).filter(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
 
 
