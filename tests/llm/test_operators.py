@@ -25,11 +25,11 @@ def odd(spark, rows=ODD):
     return spark.createDataFrame(rows, "doc_id long, text string, kept string")
 
 
-def brute_components(rows):
+def brute_components(rows, size=4):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k:k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k:k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(i):

@@ -16,7 +16,7 @@ def test_pipeline(spark):
         left = {r.doc_id: r.text for r in out.collect()}
         assert left.items() <= rows.items() and len(left) > 0.7 * len(rows)
         if name == "minhash_near_duplicates":
-            assert set(left) == {i for i, (_, c) in brute_components(rows.items()).items() if i == c}
+            assert set(left) == {i for i, (_, c) in brute_components(rows.items(), 5).items() if i == c}
         if name == "benchmark_decontamination":
             items = [" ".join(decontaminate.words_of(r.text)) for r in read(spark, SMALL, "benchmark").collect()]
             assert not any(i in " ".join(decontaminate.words_of(t)) for t in left.values() for i in items)
