@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -44,14 +45,27 @@ def ship(spark: SparkSession) -> None:
     context._sievestone_shipped = True
 
 
+def _giving_back(function: Callable) -> Callable:
+    """`function`, after which the Python worker returns freed memory to the system: it waits for its next task beside JVM stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_giving_back(function), schema)
 
 
 def map_pandas(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    return df.mapInPandas(_giving_back(function), schema)
 
 
 def digest(column) -> F.Column:
