@@ -207,7 +207,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     own = ["d1", "d2", "n_shingles"]
     same = rows.filter("n_shingles > 0 and doc_id is not null")
     nodes = same.groupBy(*own).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("left", "right", "bits1", "bits2")])
-    nodes = cut_lineage(nodes.withColumnRenamed("n_shingles", "n"))
+    # every node becomes SIDE * SIDE rows: more, smaller tasks than the bytes of the nodes alone call for
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = cut_lineage(nodes.withColumnRenamed("n_shingles", "n").repartition(spread, "rep"))
     tables = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
     buckets = nodes.select(F.explode(tables).alias("key"), "rep")
     lowest = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
