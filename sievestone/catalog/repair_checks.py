@@ -11,7 +11,7 @@ from sievestone.catalog.tables import MESSY_SQL, SALES_COLUMNS as COLS, SALES_NU
 from sievestone.operators import apply as ap
 from sievestone.operators import detect, grade, inject
 from sievestone.operators import propose as pr
-from sievestone.operators.knn import knn_cells
+from sievestone.operators.knn import like_row_cells
 from sievestone.operators.prepare import prepare
 from sievestone.operators.spelling import analyse_spelling
 from sievestone.plans.audit import audit, repair
@@ -32,23 +32,29 @@ def dirty_parts(spark, sf):
     return inject.inject_missing(parts(spark, sf), "row_id", ["size", "price", "shelf"], 0.05, 3).frame
 
 
-KNN_SQL = PARTS_SQL + """, st AS (SELECT avg(size) AS m1, stddev_samp(size) AS s1, avg(price) AS m2, stddev_samp(price) AS s2, avg(shelf) AS m3, stddev_samp(shelf) AS s3 FROM dirty),
- z AS (SELECT row_id, (size - m1) / s1 AS z1, (price - m2) / s2 AS z2, (shelf - m3) / s3 AS z3 FROM dirty, st),
- d AS (SELECT a.row_id, b.z1 AS b1, b.z2 AS b2, b.z3 AS b3, a.z1 AS a1, a.z2 AS a2, a.z3 AS a3, b.row_id AS other,
-  round((coalesce((a.z1 - b.z1) * (a.z1 - b.z1), 0) + coalesce((a.z2 - b.z2) * (a.z2 - b.z2), 0) + coalesce((a.z3 - b.z3) * (a.z3 - b.z3), 0)) * 3
-   / nullif((a.z1 IS NOT NULL AND b.z1 IS NOT NULL)::INT + (a.z2 IS NOT NULL AND b.z2 IS NOT NULL)::INT + (a.z3 IS NOT NULL AND b.z3 IS NOT NULL)::INT, 0), 9) AS dist
-  FROM z a, z b WHERE (a.z1 IS NULL OR a.z2 IS NULL OR a.z3 IS NULL)),
- n1 AS (SELECT row_id, avg(b1) AS v FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, other) AS rn FROM d WHERE a1 IS NULL AND b1 IS NOT NULL AND dist IS NOT NULL) WHERE rn <= 5 GROUP BY 1),
- n2 AS (SELECT row_id, avg(b2) AS v FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, other) AS rn FROM d WHERE a2 IS NULL AND b2 IS NOT NULL AND dist IS NOT NULL) WHERE rn <= 5 GROUP BY 1),
- n3 AS (SELECT row_id, avg(b3) AS v FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, other) AS rn FROM d WHERE a3 IS NULL AND b3 IS NOT NULL AND dist IS NOT NULL) WHERE rn <= 5 GROUP BY 1),
- knn AS (SELECT z.row_id, 'size' AS "column", coalesce(v, 0) * s1 + m1 AS value FROM z CROSS JOIN st LEFT JOIN n1 USING (row_id) WHERE z1 IS NULL UNION ALL
-  SELECT z.row_id, 'price', coalesce(v, 0) * s2 + m2 FROM z CROSS JOIN st LEFT JOIN n2 USING (row_id) WHERE z2 IS NULL UNION ALL
-  SELECT z.row_id, 'shelf', coalesce(v, 0) * s3 + m3 FROM z CROSS JOIN st LEFT JOIN n3 USING (row_id) WHERE z3 IS NULL)"""
+PART_COLUMNS = ["size", "price", "shelf"]
+
+
+def _likeness(column: str) -> str:
+    """CTEs of one column: its mean by the deciles of the other two, the one more correlated with it first, and the filled cells."""
+    a, b = (c for c in PART_COLUMNS if c != column)
+    swap = f"round(abs(corr({column}, {b})), 6) > round(abs(corr({column}, {a})), 6)"
+    return f"""o_{column} AS (SELECT {swap} AS swap, quantile_cont({column}, 0.5) AS middle FROM dirty),
+ k_{column} AS (SELECT row_id, {column} AS v, middle, CASE WHEN swap THEN {b}_d ELSE {a}_d END AS first, CASE WHEN swap THEN {a}_d ELSE {b}_d END AS second FROM coded, o_{column}),
+ f_{column} AS (SELECT first, second, avg(v) AS m FROM k_{column} WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
+ g_{column} AS (SELECT first, avg(v) AS m FROM k_{column} WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
+ r_{column} AS (SELECT row_id, '{column}' AS "column", coalesce(f.m, g.m, middle) AS value FROM k_{column} k LEFT JOIN f_{column} f USING (first, second)
+  LEFT JOIN g_{column} g USING (first) WHERE v IS NULL)"""
+
+
+KNN_SQL = (PARTS_SQL + ", cuts AS (SELECT " + ", ".join(f"quantile_cont({c}, [{', '.join(f'0.{k}' for k in range(1, 10))}]) AS {c}_q" for c in PART_COLUMNS) + " FROM dirty),\n coded AS (SELECT dirty.*, "
+           + ", ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 + len(list_filter({c}_q, lambda x: x < {c})) END AS {c}_d" for c in PART_COLUMNS) + " FROM dirty, cuts),\n "
+           + ",\n ".join(map(_likeness, PART_COLUMNS)) + ",\n knn AS (" + " UNION ALL ".join(f"SELECT * FROM r_{c}" for c in PART_COLUMNS) + ")")
 
 
 @query("impute_nearest_rows", f"WITH {KNN_SQL} SELECT row_id, \"column\", round(value, 4) AS value FROM knn")
 def _(spark, sf):
-    return rounded(knn_cells(dirty_parts(spark, sf), "row_id", ["size", "price", "shelf"]), 4)
+    return rounded(like_row_cells(dirty_parts(spark, sf), "row_id", ["size", "price", "shelf"]), 4)
 
 
 @query("impute_integer_rounding", f"WITH {KNN_SQL} SELECT row_id, round_even(value, 0)::DOUBLE AS proposed_number FROM knn WHERE \"column\" = 'size'")

@@ -1,73 +1,75 @@
-"""Numeric imputation by the five nearest rows, exact, for tables small enough for it to be allowed.
+"""Numeric imputation from like rows: one rule at every size, made of one aggregation and lookups in a bounded table.
 
-The rule itself limits this to KNN_MAX_ROWS rows; larger tables take the median. Within the limit the rows to fill are
-dealt to tasks and every task gets the (bounded) donor table through the shuffle; only the imputed cells come out.
+Every number column is cut at its deciles (a missing value is a class of its own). A missing cell takes the mean of the
+known cells of its column in the rows that agree with its row on the deciles of the DEPTH other columns most correlated with
+that column. With fewer than NEIGHBOURS such rows the least correlated column is left out, then the next; with none left the
+column's median is taken. The table of means has at most 11 + 11**2 + 11**3 rows a column, so it is broadcast whatever the
+number of rows, and no row is shuffled.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.functions.columns import any_of, named
+from sievestone.functions.columns import named
+from sievestone.operators.quantiles import quantiles
 
-KNN_MAX_ROWS = 40_000
 NEIGHBOURS = 5
-BLOCK = 256
-DEALS = 32
+DEPTH = 3
+DECILES = [k / 10 for k in range(1, 10)]
+CLASSES = len(DECILES) + 2
+PAIRS_A_PASS = 200
+
+
+def _partners(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Up to DEPTH other columns per column, the most correlated first; column order on ties."""
+    strength: dict[tuple[str, str], float] = {}
+    pairs = list(combinations(columns, 2))
+    for at in range(0, len(pairs), PAIRS_A_PASS):
+        part = pairs[at: at + PAIRS_A_PASS]
+        row = df.agg(*[F.corr(named(a), named(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
+        for i, pair in enumerate(part):
+            r = row[f"r{i}"]
+            strength[pair] = strength[pair[::-1]] = 0.0 if r is None or r != r else round(abs(r), 6)
+    return {c: sorted((o for o in columns if o != c), key=lambda o: -strength[(c, o)])[:DEPTH] for c in columns}
+
 
+def _decile(value: Column, cuts: list[float]) -> Column:
+    """0 for a missing value, else 1 + the number of deciles below it."""
+    return F.when(value.isNull(), 0).otherwise(sum(((value > F.lit(cut)).cast("int") for cut in cuts), F.lit(1)))
 
-def knn_cells(df: DataFrame, row_id: str, columns: list[str], k: int = NEIGHBOURS, fill: list[str] | None = None) -> DataFrame:
-    """row_id, column, value for every missing cell of `fill` (default: all `columns`).
 
-    Distances use standardised columns (sample deviation), only the columns both rows have, scaled up for the missing
-    ones; ties go to the smaller row id. A row that shares no column with any donor takes the column mean.
-    """
+def like_row_cells(df: DataFrame, row_id: str, columns: list[str], fill: list[str] | None = None) -> DataFrame:
+    """row_id, column, value for every missing cell of `fill` (default: all `columns`). A column without any value gives none."""
     fill = columns if fill is None else fill
-    moments = df.agg(F.count(F.lit(1)).alias("rows"), *[f(named(c)).alias(f"{label}{i}") for i, c in enumerate(columns)
-                                                        for label, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    if moments["rows"] > KNN_MAX_ROWS:
-        raise ValueError(f"nearest-row imputation is limited to {KNN_MAX_ROWS} rows")
-    means = [moments[f"m{i}"] or 0.0 for i in range(len(columns))]
-    spreads = [moments[f"s{i}"] or 1.0 for i in range(len(columns))]
-    scaled = df.select(named(row_id).cast("long").alias("row_id"), *[
-        ((named(c) - F.lit(means[i])) / F.lit(spreads[i])).alias(f"z{i}") for i, c in enumerate(columns)])
-    places = [columns.index(c) for c in fill]
-    needs = scaled.filter(any_of(F.col(f"z{i}").isNull() for i in places))
-    asking = needs.withColumn("deal", F.pmod(F.xxhash64("row_id"), F.lit(DEALS)).cast("int")).withColumn("asks", F.lit(True))
-    giving = scaled.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).withColumn("asks", F.lit(False))
-    fields = [f"z{i}" for i in range(len(columns))]
+    found = quantiles(df, {c: (named(c), [*DECILES, 0.5]) for c in columns})
+    fill = [c for c in fill if found[c][-1] is not None]
+    if not fill:
+        return df.sparkSession.createDataFrame([], "row_id long, column string, value double")
+    partners = _partners(df, columns)
+    place = {c: i for i, c in enumerate(columns)}
+    coded = df.select(named(row_id).cast("long").alias("row_id"), *[named(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)],
+                      *[(_decile(named(c), found[c][:-1]) if found[c][-1] is not None else F.lit(0)).alias(f"d{i}") for i, c in enumerate(columns)])
 
-    def impute(dealt: pd.DataFrame) -> pd.DataFrame:
-        asked, donors = dealt[dealt["asks"]], dealt[~dealt["asks"]].sort_values("row_id")
-        bank, bank_ids = donors[fields].to_numpy(float), donors["row_id"].to_numpy()
-        known = ~np.isnan(bank)
-        filled = np.where(known, bank, 0.0)
-        out = []
-        for start in range(0, len(asked), BLOCK):
-            block = asked.iloc[start: start + BLOCK]
-            rows = block[fields].to_numpy(float)
-            have = ~np.isnan(rows)
-            squares = np.zeros((len(rows), len(bank)))
-            shared = np.zeros((len(rows), len(bank)))
-            for j in range(len(fields)):
-                both = have[:, j, None] & known[None, :, j]
-                gap = np.where(both, np.nan_to_num(rows[:, j, None]) - filled[None, :, j], 0.0)
-                squares += gap * gap
-                shared += both
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.where(shared > 0, np.round(squares * len(fields) / shared, 9), np.inf)
-            for j in places:
-                open_rows = np.flatnonzero(~have[:, j])
-                candidates = np.flatnonzero(known[:, j])
-                for r in open_rows:
-                    reach = distance[r, candidates]
-                    order = np.lexsort((bank_ids[candidates], reach))[:k]
-                    order = order[np.isfinite(reach[order])]
-                    value = bank[candidates[order], j].mean() if len(order) else 0.0
-                    out.append((int(block["row_id"].iloc[r]), columns[j], value * spreads[j] + means[j]))
-        return pd.DataFrame(out, columns=["row_id", "column", "value"])
+    def key(column: str) -> Column:
+        code = F.lit(0)
+        for other in partners[column]:
+            code = code * CLASSES + F.col(f"d{place[other]}")
+        return code
 
-    return asking.unionByName(giving).groupBy("deal").applyInPandas(impute, "row_id long, column string, value double")
+    depth = {c: len(partners[c]) for c in fill}
+    cells = F.array(*[F.when(F.col(f"v{place[c]}").isNotNull(), F.struct(F.lit(c).alias("column"), key(c).alias("key"), F.col(f"v{place[c]}").alias("v"))) for c in fill])
+    finest = coded.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("c")).groupBy("c.column", "c.key").agg(F.count(F.lit(1)).alias("n"), F.sum("c.v").alias("s"))
+    means = [finest.withColumn("key", F.floor(F.col("key") / CLASSES**left).cast("int")).groupBy("column", "key").agg(
+        F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias(f"m{left}")).filter(F.col("n") >= NEIGHBOURS).drop("n") for left in range(DEPTH)]
+    asks = F.array(*[F.when(F.col(f"v{place[c]}").isNull(), F.struct(F.lit(c).alias("column"), key(c).alias("key"), F.lit(found[c][-1]).alias("middle"),
+                                                                     F.lit(depth[c]).alias("depth"))) for c in fill])
+    out = coded.select("row_id", F.explode(F.filter(asks, lambda x: x.isNotNull())).alias("c")).select("row_id", "c.*")
+    for left, table in enumerate(means):
+        coarse = F.floor(F.col("key") / CLASSES**left).cast("int")
+        out = out.withColumn("_key", F.when(F.col("depth") > left, coarse)).join(
+            F.broadcast(table.withColumnsRenamed({"column": "_column", "key": "_of"})), (F.col("column") == F.col("_column")) & (F.col("_key") == F.col("_of")), "left").drop("_column", "_of", "_key")
+    return out.select("row_id", "column", F.coalesce(*[F.col(f"m{left}") for left in range(DEPTH)], "middle").alias("value"))

@@ -26,21 +26,26 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], in_t
         return {}
     slim = df.select(*[wanted[name][0].cast("double").alias(f"v{i}") for i, name in enumerate(names)])
     slim = slim.select(*[F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")).alias(f"v{i}") for i in range(len(names))])
-    size = slim.agg(*[f(f"v{i}").alias(f"{label}{i}") for i in range(len(names))
-                      for label, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    finite = lambda i: F.when(F.abs(f"v{i}") < math.inf, F.col(f"v{i}"))
+    size = slim.agg(*[e for i in range(len(names)) for e in (
+        F.count(f"v{i}").alias(f"n{i}"), F.min(finite(i)).alias(f"lo{i}"), F.max(finite(i)).alias(f"hi{i}"),
+        F.count_if(F.col(f"v{i}") == -math.inf).alias(f"below{i}"), F.count_if(F.col(f"v{i}") == math.inf).alias(f"above{i}"))]).first()
     if max(size[f"n{i}"] for i in range(len(names))) <= limit:
         row = slim.agg(*[F.percentile(f"v{i}", list(wanted[name][1])).alias(f"q{i}")
                          for i, name in enumerate(names)]).first()
         return {name: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(wanted[name][1])
                 for i, name in enumerate(names)}
-    targets = {}
+    targets, infinite = {}, {}
     for i, name in enumerate(names):
-        count = size[f"n{i}"]
+        count, below, above = size[f"n{i}"], size[f"below{i}"], size[f"above{i}"]
         for p in wanted[name][1] if count else []:
             position = p * (count - 1)
             for k in {math.floor(position), math.ceil(position)}:
-                targets[(i, k)] = (size[f"lo{i}"], size[f"hi{i}"], 0)
-    found = _order_statistics(slim, targets)
+                if below <= k < count - above:
+                    targets[(i, k)] = (size[f"lo{i}"], size[f"hi{i}"], below)
+                else:
+                    infinite[(i, k)] = -math.inf if k < below else math.inf
+    found = _order_statistics(slim, targets) | infinite
     result = {}
     for i, name in enumerate(names):
         count = size[f"n{i}"]
@@ -51,7 +56,7 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], in_t
                 continue
             position = p * (count - 1)
             low, high = found[(i, math.floor(position))], found[(i, math.ceil(position))]
-            values.append(low + (high - low) * (position - math.floor(position)))
+            values.append(low if low == high else low + (high - low) * (position - math.floor(position)))
         result[name] = values
     return result
 
@@ -84,7 +89,9 @@ def _bucket_counts(slim: DataFrame, intervals: list[tuple], finish: bool) -> dic
     do not overlap, so each cell falls into at most one."""
     chains: dict[int, list[str]] = {}
     for number, (i, lo, hi) in enumerate(intervals):
-        bucket = "0" if finish else f"least({BUCKETS - 1}, cast(floor((v{i} - {lo!r}D) / {(hi - lo) / BUCKETS!r}D) as int))"
+        width = hi / BUCKETS - lo / BUCKETS if math.isinf(hi - lo) else (hi - lo) / BUCKETS
+        place = f"v{i} / {width!r}D - {lo / width!r}D" if math.isinf(hi - lo) else f"(v{i} - {lo!r}D) / {width!r}D"
+        bucket = "0" if finish else f"least({BUCKETS - 1}, cast(floor({place}) as int))"
         chains.setdefault(i, []).append(f"WHEN v{i} >= {lo!r}D AND v{i} <= {hi!r}D THEN named_struct('interval', {number}, 'bucket', {bucket}, 'value', v{i})")
     cells = slim.select(F.expr("explode(array(" + ", ".join(f"CASE {' '.join(parts)} END" for parts in chains.values()) + "))").alias("c"))
     cells = cells.filter("c is not null").select("c.*")

@@ -150,18 +150,18 @@ def hash_ranks(df: DataFrame, hashed: str, output: str) -> DataFrame:
         output, F.row_number().over(inside) + F.col("_start")).drop("_prefix", "_start")
 
 
-def rotated(df: DataFrame, group: list[str], hashed: str, value: str, output: str, groups: int = 1) -> DataFrame:
-    """Adds the `value` of the next row in hash order, the last row taking the first's: a random one-cycle shuffle.
+def rotated(df: DataFrame, group: list[str], hashed: str, value: str, output: str) -> DataFrame:
+    """Adds the `value` of the next row of the group in hash order, the last row taking the first's: a random one-cycle shuffle.
 
-    On large inputs the rows are first dealt into `groups` random groups of bounded size and each group is rotated on
-    its own, which is still exchangeable and never puts all rows in one task.
+    Rows are ordered inside ranges of their hash (four leading hex digits, 65,536 ranges a group); the last row of a range
+    takes the first of the next range, read from a table with one row a range. The join uses the ranges' own partitioning.
     """
-    keys = list(group)
-    if groups > 1:
-        df = df.withColumn("_deal", F.conv(F.substring(hashed, 25, 8), 16, 10).cast("long") % groups)
-        keys.append("_deal")
-    order = W.partitionBy(*keys).orderBy(hashed)
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    boxed = F.struct(F.col(value))
-    following = F.coalesce(F.lead(boxed).over(order), F.first(boxed).over(whole))
-    return df.withColumn(output, following[value]).drop("_deal")
+    ranged = df.withColumn("_range", F.substring(hashed, 1, 4))
+    keys = [*group, "_range"]
+    boxed = F.struct(F.col(value).alias("v"))
+    heads = ranged.groupBy(*keys).agg(F.min_by(boxed, F.col(hashed)).alias("_head"))
+    order = W.partitionBy(*group).orderBy("_range")
+    around = F.coalesce(F.lead("_head").over(order), F.first("_head").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = heads.select(*keys, around.alias("_around"))
+    inside = ranged.withColumn("_next", F.lead(boxed).over(W.partitionBy(*keys).orderBy(hashed)))
+    return inside.join(heads, keys).select(*df.columns, F.coalesce("_next", "_around")["v"].alias(output))

@@ -20,16 +20,14 @@ from pyspark.sql import types as T
 from sievestone.functions.columns import any_of, broadcast_checked, count_when, named
 
 # Fixed limits of the rules.
-MAX_KEYS = 500
 FREE_TEXT_KEYS = 50
 FREE_TEXT_SHARE = 0.5
-MAX_RAW_VALUES = 10_000
 SHORT_LETTERS = 3
 SHORT_MAX_SHARE = 0.30
 TYPO_MIN_LENGTH = 5
 TYPO_MAX_SHARE = 0.05
-TYPO_MAX_KEYS = 300
 CHAIN_STEPS = 4
+SHOWN_OPTIONS = 4  # named in the text of a flag; their full number decides
 
 # Decoration dropped at both ends of a value, and separators that count as one blank inside it.
 DECORATION = " \t\r\n.,;:'\"`’"
@@ -83,38 +81,24 @@ class Spelling:
 def value_dictionary(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str], dict[str, str], dict[str, int]]:
     """column, value, key, n of the columns that hold categories, after the free-text guard.
 
-    A sketch first rules out columns far beyond the raw-value limit, so a free-text column never reaches the
-    dictionary shuffle; the exact rule then runs on the dictionary itself.
+    Free text, whatever the size: more than FREE_TEXT_KEYS keys that also outnumber half of the filled cells. Both are counted
+    exactly, on the distinct values.
     """
     from sievestone.operators.detect import value_counts
     from sievestone.session import cut_lineage
 
     if not columns:
         raise ValueError("no text columns")
-    rough = df.agg(*[F.approx_count_distinct(named(c), 0.03).alias(f"d{i}") for i, c in enumerate(columns)],
-                   *[F.count(named(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    filled = {c: rough[f"n{i}"] for i, c in enumerate(columns)}
-    skipped = {c: f"about {rough[f'd{i}']} distinct values: looks like free text or an identifier"
-               for i, c in enumerate(columns) if rough[f"d{i}"] > 2 * MAX_RAW_VALUES}
-    near = [c for c in columns if c not in skipped and rough[f"d{columns.index(c)}"] >= 2]
-    if not near:
-        empty = df.sparkSession.createDataFrame([], "column string, value string, key string, n long")
-        return empty, [], skipped, filled
-    counted = cut_lineage(value_counts(df, near))
-    raw_sizes = {row["column"]: row["n"] for row in
-                 counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for c in near:
-        if raw_sizes.get(c, 0) > MAX_RAW_VALUES:
-            skipped[c] = f"{raw_sizes[c]} distinct values: looks like free text or an identifier"
-    kept = [c for c in near if c not in skipped and raw_sizes.get(c, 0) >= 2]
-    bounded = counted.filter(F.col("column").isin(kept)).repartition(8, "column", "value")
-    words = bounded.withColumn("key", value_key("value"))
-    key_sizes = {row["column"]: row["n"] for row in
-                 words.groupBy("column").agg(F.count_distinct("key").alias("n")).collect()}
+    skipped: dict[str, str] = {}
+    words = cut_lineage(value_counts(df, columns).withColumn("key", value_key("value")))
+    sizes = {row["column"]: row for row in words.groupBy("column").agg(
+        F.count(F.lit(1)).alias("raw"), F.count_distinct(F.xxhash64("key")).alias("keys"), F.sum("n").alias("filled")).collect()}
+    filled = {c: sizes[c]["filled"] if c in sizes else 0 for c in columns}
+    kept = [c for c in columns if c in sizes and sizes[c]["raw"] >= 2]
     for c in list(kept):
-        keys = key_sizes[c]
-        if keys > MAX_KEYS or (keys > FREE_TEXT_KEYS and keys > FREE_TEXT_SHARE * filled[c]):
-            skipped[c] = f"{keys} distinct values: looks like free text or an identifier"
+        keys = sizes[c]["keys"]
+        if keys > FREE_TEXT_KEYS and keys > FREE_TEXT_SHARE * filled[c]:
+            skipped[c] = f"free text: {keys} different values in {filled[c]} filled cells"
             kept.remove(c)
     return words.filter(F.col("column").isin(kept) & (F.col("key") != "")), kept, skipped, filled
 
@@ -124,11 +108,9 @@ def analyse_spelling(df: DataFrame, columns: list[str]) -> Spelling:
     from sievestone.session import cut_lineage
 
     words, analysed, skipped, filled = value_dictionary(df, columns)
-    words = cut_lineage(words)  # at most MAX_RAW_VALUES rows per column; every rule below reads it
     keys = words.groupBy("column", "key").agg(
         F.sum("n").alias("total"),
         F.min(F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value")))["value"].alias("canon"))
-    key_counts = keys.groupBy("column").agg(F.count(F.lit(1)).alias("n_keys"))
 
     variants = words.join(keys, ["column", "key"]).filter("value <> canon").select(
         "column", "value", F.col("canon").alias("proposed"), F.lit("format_variant").alias("rule"),
@@ -154,8 +136,9 @@ def analyse_spelling(df: DataFrame, columns: list[str]) -> Spelling:
         .unionByName(short.withColumn("form", F.col("flat")).join(long(by_initials), ["column", "form"]))
     ).filter((F.col("short") != F.col("long")) & (F.length("long") > F.length("short"))).drop("form", "flat").distinct()
     judged = candidates.groupBy("column", "short", "short_total").agg(
-        F.count(F.lit(1)).alias("n_long"), F.max("long_total").alias("top_total"), F.min("long").alias("only_long"),
-        F.slice(F.array_sort(F.collect_list(F.struct("long", "long_canon"))), 1, 4).alias("options"))
+        F.count(F.lit(1)).alias("n_long"), F.max("long_total").alias("top_total"), F.min("long").alias("only_long"))
+    shown = candidates.withColumn("_place", F.row_number().over(W.partitionBy("column", "short").orderBy("long"))).filter(
+        F.col("_place") <= SHOWN_OPTIONS).groupBy("column", "short").agg(F.array_sort(F.collect_list(F.struct("long", "long_canon"))).alias("options"))
     minority = F.col("short_total") / (F.col("short_total") + F.col("top_total")) <= SHORT_MAX_SHARE
     merges = judged.filter((F.col("n_long") == 1) & (F.col("short_total") <= F.col("top_total")) & minority).select(
         "column", "short", F.col("only_long").alias("target"))
@@ -172,7 +155,7 @@ def analyse_spelling(df: DataFrame, columns: list[str]) -> Spelling:
         F.lit("strict").alias("tier"),
         F.format_string("'%s' looks like an abbreviation of '%s' (the only value it could stand for)",
                         "value", "canon").alias("detail"), F.lit(1).alias("precedence")))
-    ambiguous = (judged.filter((F.col("n_long") > 1) & minority).select(
+    ambiguous = (judged.filter((F.col("n_long") > 1) & minority).join(shown, ["column", "short"]).select(
         "column", F.col("short").alias("key"),
         F.array_join(F.transform("options", lambda o: F.concat(F.lit("'"), o["long_canon"], F.lit("'"))), ", ").alias("names"))
         .join(words.select("column", "key", "value"), ["column", "key"]).select(
@@ -182,8 +165,7 @@ def analyse_spelling(df: DataFrame, columns: list[str]) -> Spelling:
         F.lit(3).alias("precedence")))
 
     # Possible typos: keys that share a one-deletion form, then the exact one-edit test.
-    open_keys = (keys.join(key_counts.filter(F.col("n_keys") <= TYPO_MAX_KEYS), "column")
-                 .join(merges.select("column", F.col("short").alias("key")), ["column", "key"], "left_anti")
+    open_keys = (keys.join(merges.select("column", F.col("short").alias("key")), ["column", "key"], "left_anti")
                  .filter(F.length("key") >= TYPO_MIN_LENGTH))
     deletions = F.transform(F.sequence(F.lit(0), F.length("key")), lambda i: F.when(i == 0, F.col("key")).otherwise(
         F.concat(F.substr(F.col("key"), F.lit(1), i - 1), F.substr(F.col("key"), i + 1, F.length("key")))))
@@ -212,8 +194,7 @@ def analyse_spelling(df: DataFrame, columns: list[str]) -> Spelling:
 
 
 def spelling_cells(df: DataFrame, row_id: str, spelling: Spelling) -> DataFrame:
-    """One row per flagged cell. The flag list holds at most MAX_RAW_VALUES rows per analysed column; its size is checked
-    before it is broadcast."""
+    """One row per flagged cell. The size of the flag list is checked before it is broadcast."""
     if not spelling.analysed:
         return df.sparkSession.createDataFrame([], (
             "row_id long, column string, original_value string, proposed_value string, rule string, tier string, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from sievestone.functions.columns import count_when, named
 from sievestone.operators.prepare import COMMA_NUMBER, CONTAINER, is_number
 
-HEAD_BYTES = 64 * 1024
+HEAD_BYTES, HEAD_LINES = 64 * 1024, 50
 DELIMITERS = [",", ";", "\t", "|"]
 
 
@@ -72,44 +73,47 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 # --- CSV ---------------------------------------------------------------------------------------------------------
-def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of the first file; only this much leaves the cluster."""
-    first = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD_BYTES).alias("head")).orderBy("path").first()
-    if first is None or not bytes(first["head"]).strip():
+def _head(spark: SparkSession, path: str) -> list[bytes]:
+    """The first lines as they are in the file, HEAD_BYTES of each at most; only this much leaves the cluster."""
+    lines = [bytes(r[0]) for r in spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES)).take(HEAD_LINES)]
+    if not b"".join(lines).strip():
         raise ValueError("the file is empty")
-    return bytes(first["head"])
-
-
-def sniff(head: bytes) -> dict:
-    """Encoding, delimiter and header of a CSV head."""
-    text, encoding = None, "UTF-8"
-    for candidate, spark_name in (("utf-8-sig", "UTF-8"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1")):
-        try:
-            text = head.decode(candidate)
-        except UnicodeDecodeError as error:
-            if candidate == "utf-8-sig" and error.start >= len(head) - 4:  # a character cut by the end of the head
-                text = head[: error.start].decode(candidate)
-            else:
-                continue
-        encoding = spark_name
-        break
-    lines = [line for line in text.splitlines() if line.strip()][:200]
-    try:
-        delimiter = csv.Sniffer().sniff("\n".join(lines[:50]), delimiters="".join(DELIMITERS)).delimiter
-    except csv.Error:
-        delimiter = max(DELIMITERS, key=lambda d: lines[0].count(d))
-    header = next(csv.reader([lines[0]], delimiter=delimiter))
-    return {"encoding": encoding, "delimiter": delimiter, "header": unique_headers(header)}
+    lines[0] = lines[0].removeprefix(b"\xef\xbb\xbf")
+    return lines
+
+
+def sniff(spark: SparkSession, path: str) -> dict:
+    """Encoding, delimiter, header, and whether quoted values hold line breaks: one aggregation over all lines of all files.
+
+    A byte that is not UTF-8 makes the file western, wherever it stands. The delimiter is the one most lines have as often as the
+    header line (quoted parts left out), then the one the header has most often.
+    """
+    head = [line for line in _head(spark, path) if line.strip()]
+    value = F.col("value")
+    valid = F.is_valid_utf8(value)
+    outside = F.regexp_replace(F.make_valid_utf8(value), '"[^"]*"?', "")
+    times = lambda line, d: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit("")))
+    first = re.sub(r'"[^"]*"?', "", head[0].decode("latin-1"))
+    found = spark.read.text(path).agg(
+        count_when(~valid).alias("western"),
+        count_when(F.when(~valid, F.hex(value.cast("binary"))).rlike("^(..)*(81|8D|8F|90|9D)")).alias("undefined"),  # fixed: bytes cp1252 leaves out
+        count_when(times(F.make_valid_utf8(value), '"') % 2 == 1).alias("open"),
+        *[count_when(times(outside, d) == first.count(d)).alias(f"d{i}") for i, d in enumerate(DELIMITERS)]).first()
+    encoding = "UTF-8" if not found["western"] else "ISO-8859-1" if found["undefined"] else "windows-1252"
+    delimiter = max((d for d in DELIMITERS), key=lambda d: (first.count(d) > 0, found[f"d{DELIMITERS.index(d)}"], first.count(d)))
+    text = [line.decode("utf-8" if encoding == "UTF-8" else "cp1252" if encoding == "windows-1252" else "latin-1", "replace") + "\n" for line in head]
+    header = next(csv.reader(text, delimiter=delimiter))
+    return {"encoding": encoding, "delimiter": delimiter, "header": unique_headers(header), "multiline": found["open"] > 0}
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """Every column as text (typing is the next step's job), plus what was sniffed. For ';' files one aggregation decides
-    whether the comma is the decimal mark."""
-    info = sniff(_head(spark, path))
+    whether the comma is the decimal mark. Files with line breaks inside quotes are read whole, all others in splits."""
+    info = sniff(spark, path)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in info["header"]])
     western = info["encoding"] == "windows-1252"  # Spark reads it as ISO-8859-1, which differs in the control range only
     df = spark.read.csv(path, sep=info["delimiter"], encoding="ISO-8859-1" if western else info["encoding"], header=True, schema=schema,
-                        enforceSchema=True, multiLine=False, escape='"', mode="PERMISSIVE")
+                        enforceSchema=True, multiLine=info["multiline"], escape='"', mode="PERMISSIVE")
     if western:
         pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
         seen, shown = "".join(a for a, b in pairs if b), "".join(b for _, b in pairs if b)
@@ -125,10 +129,13 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 # --- JSON --------------------------------------------------------------------------------------------------------
-def records_from_json(df: DataFrame) -> DataFrame:
-    """Rows from what spark.read.json gives: records stay, a wrapped list is exploded, column arrays are zipped."""
+def records_from_json(df: DataFrame, document: bool = True) -> DataFrame:
+    """Rows from what spark.read.json gives: records stay, a wrapped list is exploded, and the column arrays of a `document`
+    that is one object are zipped (records whose fields are all arrays stay records)."""
     fields = df.schema.fields
     names = [f.name for f in fields]
+    if not document:
+        return df
     if len(fields) == 1 and isinstance(fields[0].dataType, T.ArrayType) and isinstance(fields[0].dataType.elementType, T.StructType):
         return df.select(F.explode(named(names[0])).alias("r")).select("r.*")
     wrapped = [f for f in fields if f.name == "data" and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
@@ -141,14 +148,14 @@ def records_from_json(df: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
     """JSON Lines or one document: records, {"data": [...]}, column arrays or a single record."""
+    text = F.trim(F.ltrim("value", F.lit("\ufeff")))
+    shape = spark.read.text(path).filter(text != "").select(text.startswith("{").alias("opens"), text.endswith("}").alias("closes")).take(2)
     if lines is None:
-        start = _head(spark, path).lstrip(b"\xef\xbb\xbf \r\n\t")
-        first_line = start.split(b"\n", 1)[0].strip()
-        lines = first_line.startswith(b"{") and first_line.endswith(b"}") and b"\n" in start.strip()
+        lines = len(shape) == 2 and all(r["opens"] and r["closes"] for r in shape)
     df = spark.read.json(path, multiLine=not lines)
     if "_corrupt_record" in df.columns and len(df.columns) == 1:
         raise ValueError("the file is not JSON")
-    return tidy(records_from_json(df))
+    return tidy(records_from_json(df, document=not lines and bool(shape) and shape[0]["opens"]))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -169,7 +176,7 @@ def load_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     if lower.endswith((".csv", ".tsv", ".txt")):
         df, info = read_csv(spark, path)
         return df, {"format": "csv", **info}
-    head = _head(spark, path)
+    head = _head(spark, path)[0]
     if head[:4] == b"PAR1":
         return read_parquet(spark, path), {"format": "parquet"}
     if head.lstrip()[:1] in (b"{", b"["):

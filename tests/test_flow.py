@@ -1,4 +1,4 @@
-"""Audit, repair and injection end to end: every change is logged, the truth log undoes it, nearest rows are exact."""
+"""Audit, repair and injection end to end: every change is logged, the truth log undoes it, like rows follow their rule."""
 
 import random
 
@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from sievestone.operators import apply as ap
 from sievestone.operators import inject, joint, policy
-from sievestone.operators.knn import knn_cells
+from sievestone.operators.knn import like_row_cells
 from sievestone.operators.models import auc, least_squares
+from sievestone.operators.prepare import prepare
+from sievestone.operators.propose import propose_missing
+from sievestone.operators.quantiles import quantiles
+from sievestone.operators.ranks import rotated
+from sievestone.operators.spelling import analyse_spelling
 from sievestone.plans.audit import audit, repair
 from sievestone.sources import readers, writers
 
@@ -70,23 +75,31 @@ def test_conflicting_writers_and_dropped_rows(spark):
                        ("duplicates", 2): "applied", ("outliers", 3): "flagged_only", ("missing_values", 4): "flagged_for_review"}
 
 
-def test_nearest_rows_match_brute_force(spark):
-    hurt = inject.inject_missing(frame(spark, 150).select("row_id", "age", "spend", (F.col("age") * 2 + F.col("spend")).alias("both")), "row_id", ["age", "spend", "both"], 0.1, 2).frame
+def test_like_rows_match_brute_force(spark):
+    names = ["age", "spend", "both"]
+    hurt = inject.inject_missing(frame(spark, 400).select("row_id", "age", "spend", (F.col("age") * 2 + F.col("spend")).alias("both")), "row_id", names, 0.1, 2).frame
     data = hurt.orderBy("row_id").toPandas()
-    x = data[["age", "spend", "both"]].to_numpy(float)
-    z = (x - np.nanmean(x, 0)) / np.nanstd(x, 0, ddof=1)
-    got = {(r["row_id"], r["column"]): r["value"] for r in knn_cells(hurt, "row_id", ["age", "spend", "both"]).collect()}
-    for i in range(len(x)):
-        for j, c in enumerate(["age", "spend", "both"]):
-            if not np.isnan(x[i, j]):
-                continue
-            scored = []
-            for k in range(len(x)):
-                both = ~np.isnan(z[i]) & ~np.isnan(z[k])
-                if not np.isnan(z[k, j]) and both.any():
-                    scored.append((round(((z[i, both] - z[k, both]) ** 2).sum() * 3 / both.sum(), 9), int(data.row_id[k]), x[k, j]))
-            expected = np.mean([v for _, _, v in sorted(scored)[:5]])
-            assert abs(got[(int(data.row_id[i]), c)] - expected) < 1e-6
+    got = {(r["row_id"], r["column"]): r["value"] for r in like_row_cells(hurt, "row_id", names).collect()}
+    cuts = {c: np.nanquantile(data[c], [k / 10 for k in range(1, 10)]) for c in names}
+    deciles = {c: [0 if np.isnan(v) else 1 + int((cuts[c] < v).sum()) for v in data[c]] for c in names}
+    seen = 0
+    for c in names:
+        others = sorted((o for o in names if o != c), key=lambda o: -round(abs(data[c].corr(data[o])), 6))
+        for i in np.flatnonzero(data[c].isna()):
+            value = data[c].median()
+            for take in (1, 2):
+                like = [v for k, v in enumerate(data[c]) if not np.isnan(v) and all(deciles[o][k] == deciles[o][i] for o in others[:take])]
+                value = np.mean(like) if len(like) >= 5 else value
+            assert abs(got[(int(data.row_id[i]), c)] - value) < 1e-6
+            seen += 1
+    assert seen == len(got) > 100
+
+
+def test_one_imputation_rule_at_every_size(spark):
+    for rows in (40_000, 40_001):
+        df = spark.range(rows).select(F.col("id").alias("row_id"), F.when(F.col("id") % 50 != 0, F.col("id") / 7).alias("a"), (F.col("id") / 3).alias("b"))
+        methods = {r["method"] for r in propose_missing(prepare(df, "row_id")).select("method").distinct().collect()}
+        assert methods == {"mean of 5 or more rows in the same deciles of up to 3 related columns"}
 
 
 def test_auc_counts_ties_half(spark):
@@ -149,3 +162,54 @@ def test_outputs_are_written(spark, tmp_path):
     names = writers.write_outputs(state, repair(state), str(tmp_path))
     assert {"cleaned", "cleaned_aggressive", "repair_log", "policy", "review_worklist"} <= set(names)
     assert spark.read.parquet(str(tmp_path / "cleaned")).count() == 400
+
+
+def test_csv_late_bytes_and_quoted_breaks(spark, tmp_path):
+    rows = ["id|name|note"] + [f"{i}|name {i}|" + "x" * 60 for i in range(3000)]
+    (tmp_path / "late.csv").write_bytes("\n".join(rows).encode() + "\n3000|Andr\xe9|caf\xe9 \u20ac".encode("cp1252"))
+    df, info = readers.read_csv(spark, str(tmp_path / "late.csv"))
+    assert info["encoding"] == "windows-1252" and info["delimiter"] == "|" and not info["multiline"] and df.count() == 3001
+    assert df.filter("id = '3000'").first()[1:] == ("Andr\xe9", "caf\xe9 \u20ac")
+    (tmp_path / "breaks.csv").write_text('id\ttext\n1\t"two\nlines"\n2\t"a ""b"" c"\n')
+    df, info = readers.read_csv(spark, str(tmp_path / "breaks.csv"))
+    assert info["multiline"] and [tuple(r) for r in df.orderBy("id").collect()] == [("1", "two\nlines"), ("2", 'a "b" c')]
+
+
+def test_json_shapes_from_files(spark, tmp_path):
+    shapes = {"wrapped": '{"data": [{"a": 1}, {"a": 2}]}', "columns": '{"a": [1, 2], "b": ["x", "y"]}', "records": '[{"a": [1], "b": [2]}, {"a": [3, 4], "b": [5]}]',
+              "lines": '{"a": [1], "b": [2]}\n{"a": [3, 4], "b": [5]}', "single": '{"a": 1,\n "b": {"c": 2}}'}
+    seen = {}
+    for name, text in shapes.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        seen[name] = sorted(tuple(r) for r in readers.read_json(spark, str(tmp_path / f"{name}.json")).collect())
+    arrays = [("[1]", "[2]"), ("[3,4]", "[5]")]
+    assert seen == {"wrapped": [(1,), (2,)], "columns": [(1, "x"), (2, "y")], "records": arrays, "lines": arrays, "single": [(1, 2)]}
+
+
+def test_spelling_beyond_hundreds_of_values(spark):
+    letters = "bcdfghklmn"
+    word = F.concat(*[F.substring(F.lit(letters), (F.floor(F.col("id") / 10**k) % 10 + 1).cast("int"), F.lit(1)) for k in (0, 1, 2)], F.lit("a"),
+                    *[F.substring(F.lit(letters), (F.floor(F.col("id") / 10**k) % 10 + 1).cast("int"), F.lit(1)) for k in (2, 1, 0)])
+    names = spark.range(1000).select(word.alias("c")).crossJoin(spark.range(30)).select("c")
+    slips = spark.createDataFrame([("BBBABBB",), ("cbbabbxc",)], "c string")
+    found = analyse_spelling(names.unionByName(slips), ["c"])
+    assert found.analysed == ["c"]
+    assert {(r["value"], r["rule"]) for r in found.flags.collect()} == {("BBBABBB", "format_variant"), ("cbbabbxc", "possible_typo")}
+
+
+def test_quantiles_with_infinities(spark):
+    values = [float("-inf"), -1e308, 1.0, 2.0, 1e308, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    wanted = {"v": (F.col("v"), [0.0, 0.2, 0.5, 0.8, 1.0])}
+    small, refined = quantiles(df, wanted)["v"], quantiles(df, wanted, in_task_rows=0)["v"]
+    assert small == refined == [float("-inf"), -1e308, 1.5, 1e308, float("inf")]
+
+
+def test_rotation_is_one_cycle(spark):
+    df = spark.range(500).select("id", (F.col("id") % 2).alias("g"), F.md5(F.col("id").cast("string")).alias("h"), F.when(F.col("id") % 7 != 0, F.col("id")).alias("v"))
+    rows = df.orderBy("g", "h").collect()
+    expected = {}
+    for g in (0, 1):
+        own = [r for r in rows if r["g"] == g]
+        expected |= {r["id"]: own[(i + 1) % len(own)]["v"] for i, r in enumerate(own)}
+    assert {r["id"]: r["n"] for r in rotated(df, ["g"], "h", "v", "n").collect()} == expected
