@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,19 +10,16 @@ from sievestone.catalog.register import registry
 from sievestone.catalog.tables import read, sales
 from sievestone.operators import sampling
 from sievestone.plans.audit import audit, repair
+from sievestone.session import ensure_checkpoint_dir
 from sievestone.sources import readers, writers
 
 QUERIES, SQL, query = registry()
 
 
 def scratch(spark) -> str:
-    """A folder for files a query writes and reads back: the shared folder the cluster names, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared}/sievestone-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="sievestone-files-")
+    """A new folder for files a query writes and reads back, inside the checkpoint folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
 
 
 @query("load_parquet_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
