@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by spherical k-means cells and blocked cosine products.
 
 Vectors are compared only inside a label. Equal vectors are one node with a count. Per label, centres are fitted by spherical k-means on
-a bounded sample (SAMPLE rows a label); every vector is then assigned to its nearest centre and, as a guest, to every cell whose
-centre is at most MARGIN of cosine farther. In a cell the home vectors are compared with all others by matrix products over blocks of
-BLOCK rows, in double precision. A pair that meets in both home cells counts in the lower one only. One vector per connected group
-(the smallest vec_id) is kept.
+a bounded sample (SAMPLE rows a label); every vector x is then assigned to its nearest centre c and, as a guest, to every cell whose
+centre d fits x.c - x.d <= REACH * |c - d|, where REACH is half of the largest distance of two linked vectors. This loses no link: for
+linked x and y at home with c and d the gaps x.c - x.d and y.d - y.c add up to (x - y).(c - d) <= 2 * REACH * |c - d|, so one of the
+two is a guest of the other's home. In a cell the home vectors are compared with all others by matrix products over blocks of BLOCK rows,
+in double precision. A pair that meets in both home cells counts in the lower one only. One vector per connected group (the smallest
+vec_id) is kept.
 
 The number of cells of a label grows with its rows (one for every CELL_ROWS), so cells keep their size; all centres together stay below
 CENTRE_VALUES numbers, which bounds what is broadcast. Blocks hand on link counts per vector and a spanning forest, never all pairs.
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from sievestone.llm.shared import components, map_pandas, ship
 from sievestone.session import cut_lineage
 
-LEAST, SAMPLE, CELL_ROWS, CENTRE_VALUES, MARGIN, BLOCK, STEPS = 0.93, 4096, 512, 4_000_000, 0.15, 1024, 8
+LEAST, SAMPLE, CELL_ROWS, CENTRE_VALUES, BLOCK, STEPS = 0.93, 4096, 512, 4_000_000, 1024, 8
+REACH, ROUNDING, COSINES = (2 * (1 - LEAST)) ** 0.5 / 2, 1e-7, 4_000_000
 
 
 def spherical_kmeans(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
@@ -54,18 +57,27 @@ def _fit(cells: dict):
     return run
 
 
+def places_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Home cell of every unit row of x, and all cells it is compared in."""
+    cos = x @ centres.T
+    home = cos.argmax(axis=1)
+    own, at = np.unique(home, return_inverse=True)
+    apart = np.sqrt(np.maximum(2 - 2 * centres[own] @ centres.T, 0))
+    return home, [np.flatnonzero(g).tolist() for g in cos >= cos.max(axis=1)[:, None] - REACH * apart[at] - ROUNDING]
+
+
 def _assign(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres = shared.value
         for batch in batches:
-            for (label, width), rows in batch.groupby(["label", "width"]):
-                x = np.stack(rows["embedding"].to_numpy())
-                cos = x / np.linalg.norm(x, axis=1)[:, None] @ centres[label, width].T
-                home = cos.argmax(axis=1)
-                guests = cos >= cos.max(axis=1)[:, None] - MARGIN
-                places = [np.flatnonzero(g).tolist() for g in guests]
-                yield pd.DataFrame({"node": rows["node"].to_numpy(), "n": rows["n"].to_numpy(), "label": label, "width": width, "embedding": rows["embedding"].to_numpy(),
-                                    "home": home, "places": places})
+            for (label, width), group in batch.groupby(["label", "width"]):
+                step = max(1, COSINES // len(centres[label, width]))
+                for k in range(0, len(group), step):
+                    rows = group.iloc[k:k + step]
+                    x = np.stack(rows["embedding"].to_numpy())
+                    home, places = places_of(x / np.linalg.norm(x, axis=1)[:, None], centres[label, width])
+                    yield pd.DataFrame({"node": rows["node"].to_numpy(), "n": rows["n"].to_numpy(), "label": label, "width": width, "embedding": rows["embedding"].to_numpy(),
+                                        "home": home, "places": places})
 
     return run
 

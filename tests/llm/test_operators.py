@@ -149,6 +149,25 @@ def test_vectors_against_brute_force(spark):
     assert out[2001].component_id == 0 and not out[2001].kept
 
 
+@pytest.mark.parametrize("width", [8, 64])
+def test_vectors_lose_no_link(spark, width):
+    own = np.random.default_rng(6)
+    spread = np.arange(1, width + 1) ** (-1.0 if width > 8 else 0.0)
+    x, step = own.normal(size=(2000, width)) * spread, own.normal(size=(2000, width)) * spread
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    step -= (step * x).sum(axis=1)[:, None] * x
+    cos = own.uniform(0.93, 0.96, 2000)[:, None]
+    x = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * step / np.linalg.norm(step, axis=1)[:, None]]).astype(np.float32)
+    out = vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).orderBy("vec_id").collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    root, low = np.arange(len(x)), None
+    while low is None or (low != root).any():
+        low, root = root, np.where(near, root, len(x)).min(axis=1)
+    assert [r.n_links for r in out] == (near.sum(axis=1) - 1).tolist()
+    assert [r.component_id for r in out] == root.tolist()
+
+
 def test_vectors_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
