@@ -236,3 +236,22 @@ def test_urls(spark):
     moved = spark.createDataFrame([("http://c2.net/", "http://example.org/es/2"), (None, "x")], "source string, target string")
     out = {(r.page_id, r.verdict, r.rule) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), redirects=moved).collect()}
     assert out == {(1, "block", "example.org/es/"), (2, "block", None), (3, "block", None), (4, "allow", None), (5, "allow", None), (6, "allow", None), (7, "allow", "org/"), (8, "allow", None)}
+
+
+def test_url_links(spark):
+    targets = {
+        "page2.html": "http://a.net/f/page2.html", "?id=3": "http://a.net/f/g?id=3", "../x": "http://a.net/x", "./x/./y/..": "http://a.net/f/x/", "../../../x": "http://a.net/x", ".": "http://a.net/f/",
+        "/login?next=http://x": "http://a.net/login?next=http://x", "/a/../b?p=../c": "http://a.net/b?p=../c", "//B.net/x": "http://b.net/x", "HTTP://B.Net/X#y": "http://b.net/X", "/x?a=1&amp;b=2": "http://a.net/x?a=1&b=2",
+        "&#x2F;x": "http://a.net/x", "/x?a=&amp;lt;": "http://a.net/x?a=&lt;", "#top": "http://a.net/f/g?q=1", "mailto:x": "mailto:x", "http://b.net": "http://b.net"}
+    html = "".join(f'<link rel="canonical" href="{link}">' for link in targets)
+    pages = spark.createDataFrame([(1, "HTTP://A.net/f/g?q=1#z", html)], "page_id long, url string, html string")
+    assert [tuple(r) for r in urls.page_links(pages).collect()] == [("http://a.net/f/g?q=1", t) for t in targets.values()]
+
+
+def test_relative_urls_share_blocks(spark):
+    canonical = lambda to: f'<link rel="canonical" href="{to}">'
+    rows = [(1, "http://example.org/en/1?a=1&b=2", None), (2, "http://example.org/x/y", canonical("../en/1?a=1&amp;b=2")), (3, "http://example.org/x/z", '<meta http-equiv="refresh" content="0;url=y">'),
+            (4, "http://Example.ORG/x/z?id=3", canonical("?id=4")), (5, "http://example.net/x/z?id=4", canonical("http://EXAMPLE.org/x/z")), (6, "http://EXAMPLE.net/w", '<base href="/x/"><meta http-equiv="refresh" content="0;url=z?id=4">'),
+            (7, "http://b.net", canonical("c")), (8, "http://b.net/c", canonical("/login?next=http://example.org/en/1?a=1&b=2")), (9, "x", canonical("http://example.org/x/y")), (10, "y", canonical("x"))]
+    out = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=[("block", "example.org", "/en/1")]).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block", 10: "allow"}
