@@ -17,7 +17,6 @@ from sievestone.plans.calibrate import clean_reference, run_calibration, same_ro
 from sievestone.session import cut_lineage
 
 QUERIES, SQL, query = registry()
-TREES = 12
 NUMBERS, TEXTS = ["items", "quantity", "discount", "balance"], ["priority", "segment"]
 
 BASKETS_SQL = """baskets AS (SELECT o_orderkey AS row_id, count(*)::DOUBLE AS items, sum(l_quantity) AS quantity, max(l_discount) AS discount, any_value(c_acctbal) AS balance, any_value(o_orderpriority) AS priority,
@@ -249,12 +248,12 @@ def _(spark, sf):
 @query("permutation_importance")
 def _(spark, sf):
     parts = cut_lineage(sampling.split(labelled(spark, sf), "row_id", "size", [0.7, 0.3], 1))
-    return relevance.permutation_importance(CLASSES, parts.filter("part = 0"), parts.filter("part = 1"), 0, TREES, 2)
+    return relevance.permutation_importance(CLASSES, parts.filter("part = 0"), parts.filter("part = 1"))
 
 
 @query("assess_feature_relevance")
 def _(spark, sf):
-    return relevance.assess_features(prepare(labelled(spark, sf), "row_id", "size"), trees=TREES)
+    return relevance.assess_features(prepare(labelled(spark, sf), "row_id", "size"))
 
 
 @query("embedded_selection")
@@ -262,7 +261,7 @@ def _(spark, sf):
     frame = labelled(spark, sf)
     ready = models.fit_encoder(frame, NUMBERS, []).transform(frame.withColumn("_y", models.class_code("size", ["big", "small"])))
     lasso = LogisticRegression(labelCol="_y", regParam=0.01, elasticNetParam=1.0).fit(ready)
-    forest = models.classifier("random_forest", 2, 0, 0, TREES).fit(ready)
+    forest = models.classifier("random_forest", 2, 0).fit(ready)
     rows = [(c, float(a), float(b)) for c, a, b in zip(NUMBERS, lasso.coefficients.toArray(), forest.featureImportances.toArray())]
     return spark.createDataFrame(rows, "column string, l1_coefficient double, forest_importance double")
 
@@ -271,26 +270,26 @@ def _(spark, sf):
 @query("detect_label_errors")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_labels(labelled(spark, sf), "row_id", "size", 0.05, 3).frame)
-    return labels.noisy_labels(labels.label_scores(hurt, "row_id", "size", NUMBERS, TEXTS, 5, TREES))
+    return labels.noisy_labels(labels.label_scores(hurt, "row_id", "size", NUMBERS, TEXTS))
 
 
 @query("noisy_label_filter")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_labels(labelled(spark, sf), "row_id", "size", 0.05, 3).frame)
-    scored = cut_lineage(labels.label_scores(hurt, "row_id", "size", NUMBERS, TEXTS, 5, TREES))
+    scored = cut_lineage(labels.label_scores(hurt, "row_id", "size", NUMBERS, TEXTS))
     return labels.keep_trusted(hurt, "row_id", scored, 0.2).groupBy("size").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("detect_target_errors")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_target_shift(amounts(spark, sf), "row_id", "net", 0.03, 3).frame)
-    return labels.target_scores(hurt, "row_id", "net", NUMBERS, TEXTS, 5, TREES).filter(F.col("z") > labels.TARGET_Z)
+    return labels.target_scores(hurt, "row_id", "net", NUMBERS, TEXTS).filter(F.col("z") > labels.TARGET_Z)
 
 
 @query("detect_feature_anomalies")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_swaps(amounts(spark, sf), "row_id", ["quantity", "net"], 0.03, 3).frame)
-    return features.suspicious_cells(features.cross_feature_scores(hurt, "row_id", ["quantity", "net"], ["segment"], 3, TREES))
+    return features.suspicious_cells(features.cross_feature_scores(hurt, "row_id", ["quantity", "net"], ["segment"]))
 
 
 @query("pca_reconstruction_outliers")
@@ -341,7 +340,7 @@ def _(spark, sf):
 @query("full_audit_with_target")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_all(labelled(spark, sf), "row_id", NUMBERS + TEXTS, "size", 0.03, 3).frame)
-    return audit(hurt, "row_id", "size", knn=False, trees=TREES).policy
+    return audit(hurt, "row_id", "size").policy
 
 
 # --- models ------------------------------------------------------------------------------------------------------
@@ -353,7 +352,7 @@ def parts(frame, stratum="size"):
 @query("baseline_models")
 def _(spark, sf):
     train, test = parts(labelled(spark, sf))
-    rows = [(kind, s["score"], s["accuracy"], s["auc"]) for kind in models.CLASSIFIERS for s in [models.evaluate(CLASSES, kind, train, test, 0, TREES)]]
+    rows = [(kind, s["score"], s["accuracy"], s["auc"]) for kind in models.CLASSIFIERS for s in [models.evaluate(CLASSES, kind, train, test)]]
     return spark.createDataFrame(rows, "model string, macro_f1 double, accuracy double, auc double")
 
 
@@ -412,71 +411,71 @@ def _(spark, sf):
 @query("clean_reference_set")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_missing(labelled(spark, sf), "row_id", NUMBERS + TEXTS, 0.02, 3).frame)
-    state = audit(hurt, "row_id", "size", detectors={"missing_values"}, knn=False)
+    state = audit(hurt, "row_id", "size", detectors={"missing_values"})
     ref, _ = clean_reference(state)
     return ref.groupBy("size").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("calibration_evidence")
 def _(spark, sf):
-    state = audit(labelled(spark, sf), "row_id", "size", detectors={"missing_values"}, knn=False)
-    out = run_calibration(state, seeds=(42, 43), rates=(0.1,), issues=("outliers", "duplicates"), trees=TREES, folds=3)
+    state = audit(labelled(spark, sf), "row_id", "size", detectors={"missing_values"})
+    out = run_calibration(state)
     return out.evidence
 
 
 @query("regression_calibration_runs")
 def _(spark, sf):
-    state = audit(amounts(spark, sf), "row_id", "net", task="regression", detectors={"missing_values"}, knn=False)
-    out = run_calibration(state, seeds=(42, 43), rates=(0.1,), issues=("outliers",), trees=TREES, folds=3)
+    state = audit(amounts(spark, sf), "row_id", "net", task="regression", detectors={"missing_values"})
+    out = run_calibration(state)
     return out.runs
 
 
 @query("model_panel")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_outliers(labelled(spark, sf), "row_id", NUMBERS, 0.1, 3).frame)
-    return compare.run_panel(hurt, CLASSES, ("logistic", "random_forest"), (42, 43), ("outliers",), TREES, 3)
+    return compare.run_panel(hurt, CLASSES)
 
 
 @query("arm_interaction")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_outliers(labelled(spark, sf), "row_id", NUMBERS, 0.1, 3).frame)
-    return compare.arm_interaction(compare.run_panel(hurt, CLASSES, ("logistic",), (42,), ("outliers", "duplicates"), TREES, 3))
+    return compare.arm_interaction(compare.run_panel(hurt, CLASSES))
 
 
 @query("regression_panel")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_outliers(amounts(spark, sf), "row_id", NUMBERS, 0.1, 3).frame)
-    return compare.run_panel(hurt, AMOUNTS, ("ridge", "random_forest"), (42,), ("outliers",), TREES, 3)
+    return compare.run_panel(hurt, AMOUNTS)
 
 
 @query("controlled_proof")
 def _(spark, sf):
-    return compare.controlled_proof(labelled(spark, sf), CLASSES, ("logistic",), (42,), ("missing_values", "outliers"), 0.1, TREES, 3)
+    return compare.controlled_proof(labelled(spark, sf), CLASSES, models.CLASSIFIERS, rate=0.1)
 
 
 @query("regression_proof")
 def _(spark, sf):
-    return compare.controlled_proof(amounts(spark, sf), AMOUNTS, ("ridge",), (42,), ("missing_values", "outliers"), 0.1, TREES, 3)
+    return compare.controlled_proof(amounts(spark, sf), AMOUNTS, models.REGRESSORS, rate=0.1)
 
 
 @query("tuned_repair_choice")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_outliers(labelled(spark, sf), "row_id", NUMBERS, 0.1, 3).frame)
-    choice = compare.select_repair(hurt, CLASSES, ("logistic", "random_forest"), ("outliers", "duplicates"), 42, TREES, 3)
+    choice = compare.select_repair(hurt, CLASSES, models.CLASSIFIERS, compare.SINGLE_ARMS, 42, 50, 5)
     return spark.createDataFrame(list(choice.items()), "model string, arm string")
 
 
 @query("gated_label_filter")
 def _(spark, sf):
     hurt = cut_lineage(inject.inject_labels(labelled(spark, sf), "row_id", "size", 0.1, 3).frame)
-    return compare.gated_label_filter(hurt, CLASSES, "random_forest", (0.2,), 42, TREES, 3)
+    return compare.gated_label_filter(hurt, CLASSES)
 
 
 @query("impact_runs")
 def _(spark, sf):
-    return compare.impact_runs(labelled(spark, sf), CLASSES, ("label_errors", "outliers"), (0.2,), (42, 43), ("random_forest", "boosting"), TREES)
+    return compare.impact_runs(labelled(spark, sf), CLASSES, tuple(inject.INJECTORS), inject.RATES, (42, 43, 44), models.CLASSIFIERS)
 
 
 @query("relevance_utility")
 def _(spark, sf):
-    return compare.relevance_utility(labelled(spark, sf), CLASSES, ["balance", "segment", "priority"], "random_forest", 42, TREES)
+    return compare.relevance_utility(labelled(spark, sf), CLASSES, ["balance", "segment", "priority"], "random_forest")

@@ -252,7 +252,7 @@ def _(spark, sf):
 @query("held_back_codes", f"""WITH {MESSY_SQL} SELECT 'missing_values' AS issue_key, 'balance' AS "column", 'codes' AS reason, count(*) AS cells FROM messy WHERE balance = -999 UNION ALL
  SELECT 'missing_values', 'word', 'codes', count(*) FROM messy WHERE word LIKE 'Unknown%' UNION ALL SELECT 'missing_values', 'text_code', 'codes', count(*) FROM messy WHERE text_code IN ('-9', '-9.0')""")
 def _(spark, sf):
-    state = audit(messy(spark, sf), "row_id", detectors={"missing_values"}, knn=False)
+    state = audit(messy(spark, sf), "row_id", detectors={"missing_values"})
     out = ap.apply_proposals(state.prepared, state.proposals, {"missing_values"}, hold_codes=True)
     return ap.held_back(state.proposals, out.log, set())
 
@@ -316,6 +316,6 @@ def _(spark, sf):
  SELECT 'Consistency', 'inconsistency', 'rule-based check', 0.0, 0, 'rows' UNION ALL SELECT 'Label reliability', 'label_errors', 'statistical estimate', NULL, NULL, 'rows' UNION ALL
  SELECT 'Feature reliability', 'feature_corruption', 'statistical estimate', NULL, NULL, 'rows' UNION ALL SELECT 'Joint plausibility', 'joint_outliers', 'statistical estimate', NULL, NULL, 'rows'""")
 def _(spark, sf):
-    state = audit(broken(spark, sf), "row_id", knn=False)
+    state = audit(broken(spark, sf), "row_id")
     report = repair(state).quality.select("dimension", "issue_key", "detector_type", "detected_rate", "detected_count", "count_unit")
     return rounded(report, 6)

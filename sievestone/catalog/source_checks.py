@@ -91,7 +91,7 @@ def _(spark, sf):
 @query("written_outputs")
 def _(spark, sf):
     folder = scratch(spark)
-    state = audit(sales(spark, sf), "row_id", knn=False, detectors={"missing_values", "duplicates", "outliers"})
+    state = audit(sales(spark, sf), "row_id", detectors={"missing_values", "duplicates", "outliers"})
     names = writers.write_outputs(state, repair(state), folder)
     out = None
     for name in names:
