@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievestone.llm import bpe, decontaminate, minhash, toxicity
 from sievestone.llm.shared import read, scratch
+from sievestone.session import cut_lineage
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +20,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash.near_duplicates(docs, shingle=5).filter(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_copy"], "left_anti")
+    """One row of every group of near duplicates: the smallest doc_id, null last. Rows are numbered, so null and repeated ids make no
+    difference; of rows without words only those repeated in full are one group."""
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle=5).select(F.col("doc_id").alias("_row"), "component_id")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    own = rows.select("_row", "doc_id", F.xxhash64("text").alias("hash"), F.when(wordless, F.to_json(F.struct(*docs.columns))).alias("whole"))
+    groups = own.join(found, "_row").groupBy(F.coalesce("whole", F.col("component_id").cast("string")).alias("group"))
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "_row")).alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

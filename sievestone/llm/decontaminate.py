@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.llm.shared import mix, powers, ship
+from sievestone.llm.shared import map_arrow, mix, powers, ship
 
 SEED, COVERAGE, BLOCK_WORDS = 5, 0.8, 2_000_000
 WORDS = re.compile(r"[^\W_]+")
@@ -153,23 +153,41 @@ def _hits(ids: np.ndarray, index: dict, lengths: np.ndarray, seed: int, least: f
     return [int(i) for i in items[counts >= least * lengths[items]]]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, coverage, tiles) of every benchmark item that a document covers by `least` of its words."""
-    spark = docs.sparkSession
-    ship(spark)
+def _indexes(benchmark: DataFrame, seed: int) -> Iterator:
+    """The benchmark's items as broadcast indexes of about BLOCK_WORDS words."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     counted = items.withColumn("n", F.size(F.split("text", r"\s+")).cast("long"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     blocks = int(total // (BLOCK_WORDS // 2)) + 1
-    parts = []
     for b in range(blocks):
         own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
-        shared = spark.sparkContext.broadcast(_index(own, seed))
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(shared, seed, least), "doc_id long, item_id long, coverage double, tiles int"))
-    return reduce(DataFrame.unionByName, parts)
+        yield benchmark.sparkSession.sparkContext.broadcast(_index(own, seed))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, coverage, tiles) of every benchmark item that a document covers by `least` of its words."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return reduce(DataFrame.unionByName, [texts.mapInArrow(_search(shared, seed, least), "doc_id long, item_id long, coverage double, tiles int") for shared in _indexes(benchmark, seed)])
+
+
+def _without(shared, seed: int, least: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _search(shared, seed, least)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for found in search(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])])):
+                keep[found.column(0).to_numpy()] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = COVERAGE) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item. Ids are unique after distinct, so the join has no hot key."""
-    found = contaminated(docs, benchmark, seed, least).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")
+    """`docs` without the rows that hold a benchmark item. Every row is judged by its own text and carried through the search, so null and
+    repeated ids make no difference and nothing is joined."""
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    left = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    for shared in _indexes(benchmark, seed):
+        left = map_arrow(left, _without(shared, seed, least, docs.columns.index("text")), schema)
+    return left.toDF(*docs.columns)

@@ -24,3 +24,16 @@ def test_pipeline(spark):
         out.write.parquet(path)
         docs, rows = spark.read.parquet(path), left
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == set(rows)
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    words = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(None, words("a")), (None, words("a")), (5, words("a")), (6, words("b")), (6, words("b")), (6, words("c")), (7, words("c")), (2, words("d")), (7, words("d")), (7, words("e")), (None, words("f")), (None, words("f")),
+            (None, None), (None, None), (8, ""), (8, ""), (9, "")]
+    out = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    want = [(5, words("a")), (6, words("b")), (6, words("c")), (2, words("d")), (7, words("e")), (None, words("f")), (None, None), (8, ""), (9, "")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    leak = read(spark, SMALL, "benchmark").filter("text is not null").first().text
+    rows = [(None, leak), (1, leak), (1, words("a")), (None, words("b")), (None, None), (1, words("a"))]
+    out = corpus_pipeline.without_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [r for r in rows if r[1] != leak]))
