@@ -59,13 +59,22 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns and trained texts as the formatted text and its mask tell them: adds `turns` (role, text) and `trained`."""
+    """Turns and trained texts as the formatted text and its mask tell them: adds `turns` (role, text) and `trained`.
+
+    The runs of the mask must end where the marks and messages of the formatted text end, so that the text under a run is the message
+    in its place; a mask that points elsewhere is an error. (Cutting at running sums would walk a long conversation once a message.)
+    """
     parts = F.slice(F.split("formatted", r"<s>\[ROLE\]"), 2, F.lit(1 << 30))
     block = lambda p: F.split(F.regexp_replace(p, "</s>$", ""), r"\[TEXT\]", 2)
-    turns = F.flatten(F.transform(parts, lambda p: F.transform(F.split(block(p)[1], r"\[NEXT\]", -1), lambda x: F.struct(
-        unescape(block(p)[0]).alias("role"), unescape(x).alias("text"), F.length(x).alias("chars")))))
+    head = lambda p, k: F.length(block(p)[0]) + len(START + ROLE + TEXT) + F.when(k > 0, len(END)).otherwise(0)
+    turns = F.flatten(F.transform(parts, lambda p, k: F.transform(F.split(block(p)[1], r"\[NEXT\]", -1), lambda x, i: F.struct(
+        unescape(block(p)[0]).alias("role"), unescape(x).alias("text"), F.length(x).alias("chars"), F.when(i > 0, len(NEXT)).otherwise(head(p, k)).alias("marks")))))
     runs = formatted.withColumn("turns", turns)
     # the run after each run of marks belongs to the message in the same place
-    trained = F.array_join(F.transform(F.filter(F.transform("turns", lambda t, i: F.struct(t["text"].alias("text"), F.get("mask", 2 * i + 1).alias("run"), t["chars"].alias("chars"))),
-                                                lambda x: x["run"]["loss"] & (x["run"]["chars"] == x["chars"])), lambda x: x["text"]), "")
-    return runs.withColumn("trained", trained)
+    placed = F.transform("turns", lambda t, i: F.struct(t["text"].alias("text"), F.get("mask", 2 * i + 1)["loss"].alias("loss"), (
+        (F.get("mask", 2 * i)["chars"] == t["marks"]) & (F.get("mask", 2 * i + 1)["chars"] == t["chars"]) & ~F.get("mask", 2 * i)["loss"]).alias("fits")))
+    runs = runs.withColumn("placed", placed)
+    fits = (F.size("mask") == 2 * F.size("turns")) & F.forall("placed", lambda x: x["fits"])
+    trained = F.array_join(F.transform(F.filter("placed", lambda x: x["loss"]), lambda x: x["text"]), "")
+    wrong = F.raise_error(F.lit("a loss mask doesn't fit its formatted text")).cast("string")
+    return runs.withColumn("trained", F.when(F.coalesce(fits, F.lit(False)), trained).otherwise(wrong)).drop("placed")

@@ -66,6 +66,18 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("wrong", ["chars + 1", "chars - 1", "swapped"])
+def test_chat_mask_must_fit(spark, wrong):
+    rows = [(1, 1, "user", "hello"), (1, 2, "assistant", "good day"), (1, 3, "user", "bye"), (1, 4, "assistant", "see you")]
+    done = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [r.trained for r in chat.read_back(done).collect()] == ["good daysee you"]
+    moved = {"chars + 1": lambda m, i: F.struct((m["chars"] + F.when(i == 2, 1).otherwise(0)).alias("chars"), m["loss"].alias("loss")),
+             "chars - 1": lambda m, i: F.struct((m["chars"] - F.when(i == 3, 1).otherwise(0)).alias("chars"), m["loss"].alias("loss")),
+             "swapped": lambda m, i: F.struct(m["chars"].alias("chars"), F.when(i < 4, ~m["loss"]).otherwise(m["loss"]).alias("loss"))}[wrong]
+    with pytest.raises(Exception, match="loss mask"):
+        chat.read_back(done.withColumn("mask", F.transform("mask", moved))).collect()
+
+
 def test_tiles_catch_reordered_passages(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my".split()
     ids = {w: i for i, w in enumerate(item)}
