@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sievestone.llm import archives, bpe, chat, decontaminate, minhash, planes, shards, toxicity, urls, vectors
+from sievestone.llm import archives, bpe, chat, decontaminate, minhash, planes, ppm, shards, toxicity, urls, vectors
 from sievestone.llm.shared import digest, read
 
 QUERIES: dict = {}
@@ -126,3 +126,9 @@ best AS (SELECT page_id, arg_max(name || start, length(name || start)) AS rule,
 SELECT page_id, host, path, rule, coalesce(said, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)""")
 def op10(spark, folder):
     return urls.judge_urls(read(spark, folder, "pages"))
+
+
+@query("op12_lm_score")
+def op12(spark, folder):
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    return ppm.score(read(spark, folder, "documents"), held_out)

@@ -136,8 +136,9 @@ def _pieces(borders: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, borders: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (longest runs of bytes other than x20 and x09-x0D, A-Z lower-cased) and the text it is in.
+    `between` marks other bytes that stand between words; white space must be among them.
 
     The hash is a polynomial over the word's bytes, taken from running sums, so texts are never split in Python.
     """
@@ -145,7 +146,7 @@ def word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.n
     for start, stop in _pieces(borders, data):
         own = data[start:stop]
         up, down = powers(len(own))
-        free = _SPACE[own]
+        free = between[own]
         edge = np.zeros(len(own) + 1, bool)
         cuts = borders[(borders >= start) & (borders <= stop)] - start
         edge[cuts] = True
