@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sievestone.llm import archives, bpe, chat, decontaminate, minhash, planes, ppm, shards, toxicity, urls, vectors
+from sievestone.llm import archives, bpe, chat, decontaminate, minhash, planes, ppm, shards, toxicity, treaps, urls, vectors
 from sievestone.llm.shared import digest, read
 
 QUERIES: dict = {}
@@ -132,3 +132,21 @@ def op10(spark, folder):
 def op12(spark, folder):
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     return ppm.score(read(spark, folder, "documents"), held_out)
+
+
+@query("op13_ranked_search", r"""
+WITH cut AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+filled AS (SELECT * FROM cut WHERE len(w) > 0),
+whole AS (SELECT count(*) AS n_docs, coalesce(sum(len(w)), 0) AS n_terms FROM filled),
+of_item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+flat AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM filled) WHERE term IN (SELECT term FROM of_item) GROUP BY r, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM flat, whole GROUP BY term),
+long AS (SELECT r, doc_id, CAST(10 + (90 * len(w) * n_docs) // n_terms AS BIGINT) AS m FROM filled, whole),
+impact AS (SELECT r, term, (1000000000 * tf) // (1000 * tf + 8 * m) AS impact FROM flat JOIN long USING (r)),
+scored AS (SELECT item_id, r, CAST(sum(weight * impact) AS BIGINT) AS score FROM of_item JOIN impact USING (term) JOIN weight USING (term) GROUP BY item_id, r),
+placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored JOIN long USING (r) WHERE score > 0)
+SELECT * FROM placed WHERE rank <= 10""")
+def op13(spark, folder):
+    return treaps.ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
