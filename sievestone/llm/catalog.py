@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sievestone.llm import archives, bpe, chat, decontaminate, minhash, planes, ppm, shards, toxicity, treaps, urls, vectors
+from sievestone.llm import archives, audit, bpe, chat, decontaminate, minhash, planes, ppm, shards, toxicity, treaps, urls, vectors
 from sievestone.llm.shared import digest, read
 
 QUERIES: dict = {}
@@ -128,6 +128,29 @@ def op10(spark, folder):
     return urls.judge_urls(read(spark, folder, "pages"))
 
 
+@query("op11_source_audit", r"""
+WITH cut AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+flat AS (SELECT r, lang, source, unnest(w) AS term FROM cut),
+kept AS (SELECT lang, term FROM flat GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM cut),
+held AS (SELECT lang, source, term, count(*) AS n FROM flat JOIN kept USING (lang, term) GROUP BY lang, source, term),
+whole AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN held USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * CAST(coalesce(n, 0) + 5 AS HUGEINT)) // CAST(total + 5 * v AS HUGEINT) AS p
+  FROM whole JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN held USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000 * CAST(sum(n) + 5 AS HUGEINT)) // CAST(any_value(all_n) + 5 * any_value(v) AS HUGEINT) AS q
+  FROM held JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS all_n FROM held GROUP BY lang) USING (lang) GROUP BY lang, term),
+far AS (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN far ON far.lang = x.lang AND a = x.source AND b = y.source),
+more AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM more))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""")
+def op11(spark, folder):
+    return audit.divergence(read(spark, folder, "documents"))
+
+
 @query("op12_lm_score")
 def op12(spark, folder):
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
