@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
@@ -15,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.functions.columns import named
+from sievestone.operators.pool import together
 from sievestone.operators.propose import modes
 from sievestone.operators.quantiles import medians
 from sievestone.operators.ranks import running_totals
 from sievestone.operators.sampling import folds as with_folds
+from sievestone.session import cut_lineage
 
 CLASSIFIERS = ("logistic", "random_forest", "boosting", "neural_net")
 REGRESSORS = ("ridge", "random_forest", "boosting")
@@ -108,12 +111,14 @@ def out_of_fold(df: DataFrame, row_id: str, stratum: str | None, estimator, k: i
     """Every row scored by a model that never saw it. `df` holds `features` and `_y`; the k scored parts are disjoint, so
     their union has each row once. The encoder is fitted once on all rows: it never sees the label."""
     split = with_folds(df, row_id, stratum, k, seed).persist()
-    out = None
-    for fold in range(k):
-        model = estimator.fit(split.filter(F.col("fold") != fold))
-        scored = model.transform(split.filter(F.col("fold") == fold)).select(*keep)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+
+    def scored(fold):
+        model = estimator.copy().fit(split.filter(F.col("fold") != fold))
+        return model.transform(split.filter(F.col("fold") == fold)).select(*keep)
+
+    whole = cut_lineage(reduce(DataFrame.unionByName, together([lambda f=f: scored(f) for f in range(k)])))
+    split.unpersist()
+    return whole
 
 
 # --- metrics -----------------------------------------------------------------------------------------------------

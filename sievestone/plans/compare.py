@@ -11,10 +11,12 @@ from sievestone.operators import apply as ap
 from sievestone.operators import grade, policy
 from sievestone.operators.inject import inject_all
 from sievestone.operators.models import CLASSIFIERS, REGRESSORS, Task, classes_of, evaluate, score_model, summary_scores
-from sievestone.operators.prepare import prepare
+from sievestone.operators.pool import together
+from sievestone.operators.prepare import Prepared
 from sievestone.operators.sampling import quantile_strata, split
 from sievestone.plans.audit import audit
-from sievestone.plans.calibrate import noise_floor
+from sievestone.plans.calibrate import left_out, noise_level
+from sievestone.plans.fits import Fit, fit_all
 from sievestone.session import cut_lineage
 
 SINGLE_ARMS = ("missing_values", "duplicates", "outliers", "inconsistency", "label_errors")
@@ -28,6 +30,13 @@ def leaked_rows(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFr
     return test.select("*", *record_key(columns)).join(a, ["record_1", "record_2"], "left_semi").drop("record_1", "record_2")
 
 
+def with_leaks(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+    """Test rows with `_leaked`: whether an equal row stands in the training rows."""
+    keys = train.select(*record_key(columns)).distinct().withColumn("_seen", F.lit(True))
+    joined = test.select("*", *record_key(columns)).join(keys, ["record_1", "record_2"], "left")
+    return joined.withColumn("_leaked", F.col("_seen").isNotNull()).drop("record_1", "record_2", "_seen")
+
+
 def _split(df: DataFrame, task: Task, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
     stratum = task.target
     shaped = df
@@ -37,9 +46,9 @@ def _split(df: DataFrame, task: Task, share: float, seed: int) -> tuple[DataFram
     return parts.filter("part = 0").select(df.columns), parts.filter("part = 1").select(df.columns)
 
 
-def repair_arms(train: DataFrame, task: Task, arms, seed: int, trees: int, folds: int, evidence: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The training rows as they are, after each single repair, after all of them, and after the policy's own choice. Only
-    training rows are read. An arm that changes nothing is left out and shares the raw fit."""
+def repair_arms(train: DataFrame, task: Task, arms, seed: int, trees: int, folds: int, evidence: DataFrame | None = None) -> tuple[Prepared, dict[str, DataFrame]]:
+    """The typing of the training rows, and those rows as they are, after each single repair, after all of them, and after the policy's own
+    choice, all typed by it. Only training rows are read. An arm that changes nothing is left out and shares the raw fit."""
     state = audit(train, task.row_id, task.target, "regression" if task.regression else "classification", detectors=set(arms), evidence=evidence,
                   trees=trees, folds=folds, seed=seed)
     counts = {r["issue_key"]: r["n_repair_candidates"] for r in state.observed.collect()}
@@ -49,41 +58,49 @@ def repair_arms(train: DataFrame, task: Task, arms, seed: int, trees: int, folds
     default = policy.auto_issues(state.policy) & set(arms)
     if default:
         chosen["default"] = default
-    frames = {"before": train}
-    for arm, issues in chosen.items():
-        frames[arm] = cut_lineage(ap.apply_proposals(state.prepared, state.proposals, issues, issues, hold_codes=arm == "default").cleaned)
-    return frames
+    typed = state.prepared.apply
+    made = together([lambda arm=arm, issues=issues: (arm, cut_lineage(typed(ap.apply_proposals(state.prepared, state.proposals, issues, issues, hold_codes=arm == "default").cleaned)))
+                     for arm, issues in chosen.items()])
+    return state.prepared, {"before": typed(train), **dict(made)}
 
 
 def run_panel(df: DataFrame, task: Task, models=None, seeds=(42, 43), arms=SINGLE_ARMS, trees: int = 50, folds: int = 5, test_share: float = 0.2,
               evidence: DataFrame | None = None) -> DataFrame:
-    """model, arm, mean score, mean change, verdict against the model's own noise floor."""
+    """model, arm, mean score, mean change, verdict against the model's own noise floor, score without test rows that stand in train."""
     models = models or (REGRESSORS if task.regression else CLASSIFIERS)
-    rows, floors = [], {}
-    for seed in seeds:
+
+    def one(seed):
         train, test = _split(df, task, test_share, seed)
-        frames = repair_arms(train, task, arms, seed, trees, folds, evidence)
-        test = _typed(test, task)
-        leaked = leaked_rows(train, test, task.numbers + task.texts + [task.target]).count() / max(test.count(), 1)
+        typing, frames = repair_arms(train, task, arms, seed, trees, folds, evidence)
+        known = fewer(task, typing)
+        held = cut_lineage(with_leaks(frames["before"], typing.apply(test), known.numbers + known.texts + [task.target]))
+        leaked = held.agg(F.avg(F.col("_leaked").cast("double"))).first()[0] or 0.0
+        fits = {(model, arm): Fit(arm, model, seed, trees) for model in models for arm in frames}
+        draws = {(model, d): Fit("before", model, seed, trees, left_out(seed, d)) for model in models for d in range(2)} if seed == seeds[0] else {}
+        got = fit_all(known, frames, held, [*fits.values(), *draws.values()], fresh=True)
+        rows = []
         for model in models:
-            base = evaluate(task, model, _typed(frames["before"], task), test, seed, trees)
+            base = got[fits[model, "before"]]
             for arm in ["before", "default", "aggressive", *arms]:
-                got = base if arm not in frames or arm == "before" else evaluate(task, model, _typed(frames[arm], task), test, seed, trees)
-                rows.append((model, arm, seed, got["score"], got["auc"], got["score"] - base["score"], arm not in frames or arm == "before", leaked))
-            if (model, seeds[0]) not in floors:
-                floors[(model, seeds[0])] = noise_floor(task, _typed(train, task), test, [seed], {seed: base}, model, trees, draws=2)[0]
-    runs = df.sparkSession.createDataFrame(rows, "model string, arm string, seed int, score double, auc double, change double, same boolean, leaked double")
-    levels = df.sparkSession.createDataFrame([(m, f) for (m, _), f in floors.items()], "model string, noise_floor double")
+                own = got[fits[model, arm if arm in frames else "before"]]
+                rows.append((model, arm, seed, own["score"], own["auc"], own["score"] - base["score"], arm not in frames or arm == "before", leaked, own["score_fresh"]))
+        return rows, [(model, noise_level([got[draws[model, d]]["score"] - got[fits[model, "before"]]["score"] for d in range(2)])) for model in models] if draws else []
+
+    found = together([lambda s=s: one(s) for s in seeds], 2)
+    spark = df.sparkSession
+    runs = spark.createDataFrame([r for rows, _ in found for r in rows], "model string, arm string, seed int, score double, auc double, change double, same boolean, leaked double, score_fresh double")
+    levels = spark.createDataFrame([f for _, floors in found for f in floors], "model string, noise_floor double")
     return panel_table(runs.join(F.broadcast(levels), "model"))
 
 
-def _typed(df: DataFrame, task: Task) -> DataFrame:
-    p = prepare(df, task.row_id, task.target, "regression" if task.regression else "classification")
-    return p.frame.filter(named(task.target).isNotNull())
+def fewer(task: Task, typing: Prepared) -> Task:
+    """The task on the columns that are left, as the typing knows them."""
+    known = set(task.numbers + task.texts)
+    return Task(task.row_id, task.target, [c for c in typing.numbers if c in known], [c for c in typing.texts if c in known], task.regression)
 
 
 def panel_table(runs: DataFrame) -> DataFrame:
-    """Verdicts from runs(model, arm, seed, score, auc, change, same, leaked, noise_floor)."""
+    """Verdicts from runs(model, arm, seed, score, auc, change, same, leaked, score_fresh, noise_floor)."""
     change = F.col("change")
     status = grade.status_of(grade.sign_agreement(change), F.avg(change), F.max("noise_floor"))
     verdict = (F.when(F.first("arm") == "before", "baseline").when(F.bool_and("same"), "no change")
@@ -91,7 +108,7 @@ def panel_table(runs: DataFrame) -> DataFrame:
                .when(status == "positive", "improved").when(status == "negative", "worse").otherwise("within noise"))
     return runs.groupBy("model", "arm").agg(
         F.count(F.lit(1)).alias("n_seeds"), F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"), F.avg("auc").alias("auc_mean"),
-        F.avg(change).alias("delta"), F.max("noise_floor").alias("noise_floor"), verdict.alias("verdict"), F.avg("leaked").alias("leaked_share"))
+        F.avg(change).alias("delta"), F.max("noise_floor").alias("noise_floor"), verdict.alias("verdict"), F.avg("leaked").alias("leaked_share"), F.avg("score_fresh").alias("score_without_leaks"))
 
 
 def arm_interaction(panel: DataFrame) -> DataFrame:
@@ -106,11 +123,13 @@ def select_repair(dirty: DataFrame, task: Task, models, arms, seed: int, trees:
     columns = [c for c in dirty.columns if c != task.row_id]
     keys = train.select(*record_key(columns)).distinct()
     free = validation.select("*", *record_key(columns)).join(keys, ["record_1", "record_2"], "left_anti").select(validation.columns)
-    frames = repair_arms(train, task, arms, seed, trees, folds)
-    held = _typed(free, task)
+    typing, frames = repair_arms(train, task, arms, seed, trees, folds)
+    frames.pop("default", None)
+    fits = {(model, arm): Fit(arm, model, seed, trees) for model in models for arm in frames}
+    got = fit_all(fewer(task, typing), frames, cut_lineage(typing.apply(free)), list(fits.values()), with_auc=False)
     choice = {}
     for model in models:
-        scores = {arm: evaluate(task, model, _typed(frame, task), held, seed, trees, with_auc=False)["score"] for arm, frame in frames.items() if arm != "default"}
+        scores = {arm: got[fits[model, arm]]["score"] for arm in frames}
         best = max((s, a) for a, s in scores.items())
         choice[model] = best[1] if best[0] - scores["before"] > SELECT_MARGIN else "before"
     return choice
@@ -122,9 +141,9 @@ def controlled_proof(df: DataFrame, task: Task, models=("logistic", "random_fore
     rows, with the share of the damage each repair recovers."""
     from sievestone.operators.inject import inject_missing, inject_outliers, inject_target_shift
 
-    rows = []
     columns = task.numbers + task.texts
-    for seed in seeds:
+
+    def one(seed):
         train, test = _split(df, task, 0.2, seed)
         if task.regression:
             step = inject_missing(train, task.row_id, columns, rate, seed).frame
@@ -132,13 +151,19 @@ def controlled_proof(df: DataFrame, task: Task, models=("logistic", "random_fore
             dirty = cut_lineage(inject_target_shift(step, task.row_id, task.target, rate, seed + 2).frame)
         else:
             dirty = cut_lineage(inject_all(train, task.row_id, columns, task.target, rate, seed).frame)
-        frames = repair_arms(dirty, task, arms, seed, trees, folds)
-        tuned = select_repair(dirty, task, models, arms, seed, trees, folds)
+        (typing, frames), tuned = together([lambda: repair_arms(dirty, task, arms, seed, trees, folds), lambda: select_repair(dirty, task, models, arms, seed, trees, folds)])
+        frames["clean"] = typing.apply(train)
+        fits = {(model, arm): Fit(arm, model, seed, trees) for model in models for arm in frames}
+        got = fit_all(fewer(task, typing), frames, typing.apply(test), list(fits.values()), with_auc=False)
+        rows = []
         for model in models:
-            clean = evaluate(task, model, train, test, seed, trees, with_auc=False)["score"]
-            scores = {arm: evaluate(task, model, _typed(frame, task), test, seed, trees, with_auc=False)["score"] for arm, frame in frames.items()}
-            scores["tuned"] = scores[tuned[model]]
+            scores = {arm: got[fits[model, arm]]["score"] for arm in frames}
+            clean = scores.pop("clean")
+            scores["tuned"] = scores.get(tuned[model], scores["before"])
             rows += [(model, arm, seed, clean, scores["before"], s) for arm, s in scores.items()]
+        return rows
+
+    rows = [r for found in together([lambda s=s: one(s) for s in seeds], 2) for r in found]
     runs = df.sparkSession.createDataFrame(rows, "model string, arm string, seed int, clean double, dirty double, score double")
     damage = F.avg(F.col("clean") - F.col("dirty"))
     return runs.groupBy("model", "arm").agg(F.count(F.lit(1)).alias("n_seeds"), F.avg("score").alias("score_mean"), damage.alias("damage"),
@@ -152,9 +177,10 @@ def gated_label_filter(df: DataFrame, task: Task, model: str = "random_forest",
 
     train, validation = _split(df, task, VALIDATION_SHARE, seed)
     scored = cut_lineage(label_scores(train, task.row_id, task.target, task.numbers, task.texts, folds, trees, seed))
-    rows = [(0.0, evaluate(task, model, train, validation, seed, trees, with_auc=False)["score"])]
-    for t in thresholds:
-        rows.append((float(t), evaluate(task, model, keep_trusted(train, task.row_id, scored, t), validation, seed, trees, with_auc=False)["score"]))
+    arms = {0.0: train, **{float(t): keep_trusted(train, task.row_id, scored, t) for t in thresholds}}
+    fits = [Fit(t, model, seed, trees) for t in arms]
+    got = fit_all(task, arms, validation, fits, with_auc=False)
+    rows = [(f.arm, got[f]["score"]) for f in fits]
     best = max(rows, key=lambda r: (r[1] - rows[0][1] > SELECT_MARGIN, r[1]))
     chosen = best[0] if best[1] - rows[0][1] > SELECT_MARGIN else 0.0
     return df.sparkSession.createDataFrame([(t, s, t == chosen) for t, s in rows], "threshold double, score double, chosen boolean")
@@ -165,15 +191,16 @@ def impact_runs(df: DataFrame, task: Task, issues, rates, seeds, models=("random
     from sievestone.operators.inject import INJECTORS
 
     train, test = _split(df, task, 0.3, seeds[0])
+    columns = task.numbers + task.texts
+    cells = [(issue, rate, seed) for issue in issues for rate in rates for seed in seeds]
+    arms = {"clean": train, **{cell: lambda c=cell: cut_lineage(INJECTORS[c[0]](train, task.row_id, columns, task.target, c[1], c[2]).frame) for cell in cells}}
+    base = {(m, seed): Fit("clean", m, seed, trees) for m in models for seed in seeds}
+    fits = {(m, *cell): Fit(cell, m, cell[2], trees) for m in models for cell in cells}
+    got = fit_all(task, arms, test, [*base.values(), *fits.values()], with_auc=False)
     rows = []
-    for seed in seeds:
-        base = {m: evaluate(task, m, train, test, seed, trees, with_auc=False)["score"] for m in models}
-        for issue in issues:
-            for rate in rates:
-                dirty = cut_lineage(INJECTORS[issue](train, task.row_id, task.numbers + task.texts, task.target, rate, seed).frame)
-                for m in models:
-                    got = evaluate(task, m, dirty, test, seed, trees, with_auc=False)["score"]
-                    rows.append((m, issue, float(rate), seed, base[m], got, base[m] - got))
+    for (m, issue, rate, seed), fit in fits.items():
+        clean, dirty = got[base[m, seed]]["score"], got[fit]["score"]
+        rows.append((m, issue, float(rate), seed, clean, dirty, clean - dirty))
     return df.sparkSession.createDataFrame(rows, "model string, issue string, rate double, seed int, clean double, dirty double, damage double")
 
 
@@ -190,10 +217,8 @@ def cross_validated(df: DataFrame, task: Task, model: str, k: int = 5, seed: int
     from sievestone.operators.sampling import folds as with_folds
 
     parts = with_folds(df, task.row_id, None if task.regression else task.target, k, seed).persist()
-    out = None
-    for fold in range(k):
-        scored = score_model(task, model, parts.filter(F.col("fold") != fold), parts.filter(F.col("fold") == fold), seed, trees,
-                             None if task.regression else classes_of(df, task.target))
-        row = summary_scores(scored)
-        out = row if out is None else out.unionByName(row)
+    classes = classes_of(df, task.target)
+    rows = together([lambda f=f: tuple(summary_scores(score_model(task, model, parts.filter(F.col("fold") != f), parts.filter(F.col("fold") == f), seed, trees, classes)).first()) for f in range(k)])
+    parts.unpersist()
+    out = df.sparkSession.createDataFrame(rows, "accuracy double, macro_f1 double, balanced_accuracy double")
     return out.agg(*[e for c in ("accuracy", "macro_f1", "balanced_accuracy") for e in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))])
