@@ -1,10 +1,11 @@
 """Which words set a source apart from its language: a divergence audit by chunk factorization.
 
-Texts are cut at white space into chunks, which repeat far more often than texts do. Each slice of documents counts its chunks by language
-and source; each globally distinct chunk is cut into terms once, and its terms are joined back to the counts. Occurrences add up over
-chunks; documents don't, since a document may hold a term in several chunks. A chunk in at least `least` documents of a language proves
-all its terms; rarer chunks carry their documents (fewer than `least` each), and distinct documents are counted over them. So the
-documents of a term are counted exactly up to the limit that decides, and no list grows with the corpus.
+Texts are cut at white space into chunks, which repeat far more often than texts do. Slices of documents count in how many documents of a
+language a chunk stands; each globally distinct chunk is cut into terms once, and its terms are joined back to the counts. A chunk in at
+least `least` documents of a language proves all its terms. A term whose chunks add up to fewer documents is out. What is left are a
+few terms in several rare chunks of which some documents may hold two: their documents are counted distinctly. Then the texts are
+counted by source, only the chunks that hold a term still in question or proven: a Bloom filter of fixed size tells them in the
+tasks, and the join on the chunk drops what it let through by chance. No list grows with the corpus and no step is cut off.
 
 A language keeps the terms in at least `least` of its documents. Every source of the language gives each kept term a share
 p = 1 + floor(SCALE * (count + PLUS) / (N + PLUS * V)). Two sources differ by the sum of abs(p - q) over all kept terms: their counts meet in
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievestone.llm.shared import map_arrow, ship, slices
+from sievestone.llm.shared import PIECE_BYTES, ROOT, map_arrow, mix, powers, scratch, ship, slices, text_bytes
 from sievestone.session import cut_lineage
 
 LEAST, SCALE, PLUS, TOP = 30, 10**9, 5, 50
@@ -34,7 +35,50 @@ SLICE, SOURCES, TERMS = 16 << 20, 64, 4096
 #: Fixed by the contract: what a term is made of.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COUNTS = "chunk string, lang string, docs long, rows array<long>, sources array<string>, times array<long>"
+BLOOM_BITS = 1 << 26
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    out = np.zeros(len(strings), np.uint64)
+    data, borders = text_bytes(strings)
+    at = 0
+    while at < len(strings):
+        to = max(at + 1, int(np.searchsorted(borders, borders[at] + PIECE_BYTES, "right")) - 1)
+        own = data[borders[at]:borders[to]]
+        up, down = powers(len(own) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[:len(own)])])
+        cuts = borders[at:to + 1] - borders[at]
+        out[at:to] = mix((total[cuts[1:]] - total[cuts[:-1]]) * down[cuts[:-1]])
+        at = to
+    return out
+
+
+def _places(chunks: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for hashes of chunks and their languages."""
+    both = mix(chunks + mix(langs + np.uint64(ROOT)))
+    return (both & np.uint64(BLOOM_BITS - 1)).astype(np.int64), (both >> np.uint64(34) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(np.concatenate(_places(hashes(batch.column(0)), hashes(batch.column(1)))))
+        first = _runs(at >> 6)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 6)[first]), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of (chunk, lang), made by the tasks; BLOOM_BITS bits reach the driver, however many keys there are."""
+    words = map_arrow(keys.select("chunk", "lang"), _filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BLOOM_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _in(filter_words: np.ndarray, places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    a, b = (filter_words[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1) for p in places)
+    return (a & b).astype(bool)
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -47,56 +91,85 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
 
 
-def _chunks(least: int):
-    """Counted chunks of slices of (row, lang, source, text): a row for each language and chunk."""
+def _chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(text, chunk, times) of every chunk of every text, and the distinct chunks."""
+    cut = pc.ascii_split_whitespace(texts)
+    borders = cut.offsets.to_numpy()
+    chunk, chunks = _codes(cut.values.slice(borders[0], borders[-1] - borders[0]))
+    owner = np.repeat(np.arange(len(texts)), np.diff(borders))
+    if len(chunk):
+        full = pc.not_equal(chunks, "").to_numpy(zero_copy_only=False)[chunk]
+        owner, chunk = owner[full], chunk[full]
+    pair, times = np.unique(owner * max(1, len(chunks)) + chunk, return_counts=True)
+    return pair // max(1, len(chunks)), pair % max(1, len(chunks)), times, chunks
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, lang, docs) of slices of (lang, text)."""
+    for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
+        lang, langs = _codes(batch.column(0))
+        owner, chunk, _, chunks = _chunks_of(batch.column(1))
+        both, docs = np.unique(chunk * len(langs) + lang[owner], return_counts=True)
+        yield pa.RecordBatch.from_arrays([chunks.take(pa.array(both // len(langs))), langs.take(pa.array(both % len(langs))), pa.array(docs.astype(np.int64))], names=["chunk", "lang", "docs"])
+
+
+def _occurrences(shared):
+    """Of slices of (row, lang, source, text), for the chunks in the filters: (chunk, lang, source, n), and (chunk, lang, row) of those whose
+    documents are to be told apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, apart = shared.value
         for batch in (part for whole in batches for part in slices(whole, 3, SLICE)):
             row = batch.column(0).to_numpy()
             lang, langs = _codes(batch.column(1))
             source, sources = _codes(batch.column(2))
-            cut = pc.ascii_split_whitespace(batch.column(3))
-            borders = cut.offsets.to_numpy()
-            chunk, chunks = _codes(cut.values.slice(borders[0], borders[-1] - borders[0]))
-            owner = np.repeat(np.arange(len(row)), np.diff(borders))
-            full = pc.not_equal(chunks, "").to_numpy(zero_copy_only=False)[chunk] if len(chunk) else np.zeros(0, bool)
-            pair, times = np.unique(owner[full] * len(chunks) + chunk[full], return_counts=True)
-            owner, chunk = pair // max(1, len(chunks)), pair % max(1, len(chunks))
-            order = np.argsort((chunk * len(langs) + lang[owner]) * len(sources) + source[owner], kind="stable")
-            owner, chunk, times = owner[order], chunk[order], times[order]
-            of_lang = chunk * len(langs) + lang[owner]
-            first = _runs(of_lang)  # rows of one language and chunk
-            inner = _runs(of_lang * len(sources) + source[owner])  # and of one source
-            docs = np.diff(np.append(first, len(owner)))
-            rare = docs < least
-            held = np.repeat(rare, docs)
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(rare, docs, 0))]).astype(np.int32)), pa.array(row[owner[held]]))
-            ends = pa.array(np.searchsorted(inner, np.append(first, len(owner))).astype(np.int32))
+            owner, chunk, times, chunks = _chunks_of(batch.column(3))
+            of_chunk, of_lang = hashes(chunks), hashes(langs)
+            both = chunk * len(langs) + lang[owner]
+            known, back = np.unique(both, return_inverse=True)
+            places = _places(of_chunk[known // len(langs)], of_lang[known % len(langs)])
+            hit, told = _in(wanted, places)[back], _in(apart, places)[back]
+            key = both[hit] * len(sources) + source[owner[hit]]
+            order = np.argsort(key, kind="stable")
+            first = _runs(key[order])
+            n = np.add.reduceat(times[hit][order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+            key = key[order][first]
+            pair = np.concatenate([key // len(sources), both[told]])
+            nulls = np.arange(len(pair)) >= len(key)
+            blank = lambda x: pa.array(np.concatenate([x, np.zeros(len(pair) - len(key), np.int64)]), mask=nulls)
             yield pa.RecordBatch.from_arrays(
-                [chunks.take(pa.array(chunk[first])), langs.take(pa.array(lang[owner[first]])), pa.array(docs.astype(np.int64)), listed,
-                 pa.ListArray.from_arrays(ends, sources.take(pa.array(source[owner[inner]]))),
-                 pa.ListArray.from_arrays(ends, pa.array(np.add.reduceat(times, inner).astype(np.int64) if len(inner) else np.zeros(0, np.int64)))],
-                names=["chunk", "lang", "docs", "rows", "sources", "times"])
+                [chunks.take(pa.array(pair // len(langs))), langs.take(pa.array(pair % len(langs))), sources.take(blank(key % len(sources))), blank(n),
+                 pa.array(np.concatenate([np.zeros(len(key), np.int64), row[owner[told]]]), mask=~nulls)], names=["chunk", "lang", "source", "n", "row"])
 
     return run
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a table of the shared folder, and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def kept_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, source, term, n): occurrences of the terms that at least `least` documents of the language hold, as a table."""
     whole = [F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), *whole)
-    counted = map_arrow(rows, _chunks(least), COUNTS).repartition("chunk")
+    held = map_arrow(rows.select("lang", "text"), _documents, "chunk string, lang string, docs long").repartition("chunk")
+    by_lang = held.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs")).groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
     cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    terms = counted.groupBy("chunk").agg(F.count(F.lit(1)).alias("slices")).select("chunk", cut.alias("terms")).filter(F.size("terms") > 0)
-    everywhere = counted.withColumn("docs", F.sum("docs").over(Window.partitionBy("chunk", "lang")))
-    back = everywhere.join(terms, "chunk").select("lang", F.explode("terms").alias("term"), "docs", "rows", "sources", "times")
-    single = back.filter(F.col("docs") < least).select("lang", "term", F.explode("rows").alias("row")).distinct()
-    counted_out = single.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("single")).filter(F.col("single") >= least)
-    by_source = back.select("lang", "term", "docs", F.explode(F.arrays_zip("sources", "times")).alias("s")).groupBy("lang", "term", F.col("s.sources").alias("source")).agg(
-        F.sum("s.times").alias("n"), F.max("docs").alias("docs"))
-    most = F.max("docs").over(Window.partitionBy("lang", "term"))
-    held = by_source.join(counted_out, ["lang", "term"], "left").withColumn("most", most)
-    return cut_lineage(held.filter((F.col("most") >= least) | F.col("single").isNotNull()).select("lang", "source", "term", "n"))
+    chunks = _table(by_lang.select("chunk", "langs", cut.alias("terms")).filter(F.size("terms") > 0).select("chunk", F.explode("langs").alias("l"), "terms").select("chunk", "l.*", "terms"), "chunks")
+    sums = chunks.select("lang", "docs", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.max("docs").alias("most"), F.sum("docs").alias("all"))
+    open_ = _table(sums.filter(F.col("all") >= least).select("lang", "term", (F.col("most") >= least).alias("proven")), "terms")
+    found = _table(chunks.select("chunk", "lang", F.explode("terms").alias("term")).join(open_, ["lang", "term"]), "found")
+    shared = docs.sparkSession.sparkContext.broadcast((bloom(found), bloom(found.filter("not proven"))))
+    counted = map_arrow(rows, _occurrences(shared), "chunk string, lang string, source string, n long, row long").join(found, ["chunk", "lang"])
+    counted = counted.filter("row is null or not proven").groupBy("lang", "term", "proven", "source", "row").agg(F.sum("n").alias("n"))
+    counted = _table(counted, "counted")
+    enough = counted.filter("row is not null").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least).select("lang", "term")
+    by_source = counted.filter("row is null").select("lang", "source", "term", "n", "proven")
+    more = by_source.filter("not proven").join(enough, ["lang", "term"], "left_semi")
+    return _table(by_source.filter("proven").unionByName(more.select(by_source.columns)).drop("proven"), "counts")
 
 
 def _share(n, of) -> F.Column:
