@@ -4,10 +4,12 @@ Two small collections of short MinHash keys are computed per document; every pai
 SIDE * SIDE tables cost only 2 * SIDE * WIDTH hash functions. Documents that meet in a table are candidates. Links are
 confirmed by the exact similarity of the full sets.
 
-A group of n copies never yields n * n pairs. Exact copies are one node. First each node of a bucket is compared with the
-bucket's smallest node. What is left are pairs of different components inside a bucket: each such bucket hands on only a
-spanning forest of its close pairs (by one-bit hashes), which joins nodes to families; every pair of a family that still
-belongs to different components is then compared on full sets, in blocks, and only links that join components are handed on.
+A group of n copies never yields n * n pairs. Exact copies are one node. In each of ROUNDS rounds a node is compared with one other: the
+smallest node of its buckets that is in another component yet; what is confirmed is contracted. What is left are pairs of different
+components inside a bucket: each such bucket hands on only a spanning forest of its close components (by one-bit hashes), which joins
+components to families; every pair of nodes of a family that still belongs to different components is then compared on full sets, in
+blocks, and only links that join components are handed on. The largest component of a bucket or family is never compared with itself, so
+a large group of near copies costs what its rows and the few others make, not its square.
 
 Edge cases: null or empty text, or white space only: no shingles, linked with nothing. Null doc_id: the row comes back with
 null component_id, kept true. Rows that repeat a doc_id are one document that links with all its texts link with.
@@ -29,7 +31,7 @@ from sievestone.session import cut_lineage
 SIDE, WIDTH, BITS = 10, 2, 128
 #: At similarity 0.8 on average 115 of 128 one-bit hashes agree (deviation 3.4); at 0.3 about 83.
 LEAST_BITS = 98
-BUCKET_BLOCK, SET_BLOCK = 4096, 256
+BUCKET_BLOCK, SET_BLOCK, SMALL_GROUP, ROUNDS = 4096, 256, 64, 2
 BROADCAST_IDS = 2_000_000
 SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, left array<long>, right array<long>, bits1 long, bits2 long"
 
@@ -125,33 +127,49 @@ def _sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFra
         yield rest, np.zeros(len(rest), np.int64)
 
 
+def _root(tree: np.ndarray, i: int) -> int:
+    while tree[i] != i:
+        i = tree[i]
+    return i
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A spanning forest of the close pairs of different components of every bucket."""
+    """A spanning forest of the close components of every bucket, as pairs of components. Rows of role 0 are compared with each other and
+    with all, rows of role 1 with those of role 2, rows of role 2 never with each other."""
     for rows, group in _sorted_groups(batches):
-        rep, comp, role = (rows[c].to_numpy() for c in ("rep", "component", "role"))
+        comp, role = rows["component"].to_numpy(), rows["role"].to_numpy()
         bits = [rows[c].to_numpy().view(np.uint64) for c in ("bits1", "bits2")]
-        last, tree = np.searchsorted(group, group, "right"), np.arange(len(rows))
-        at, found, far = np.arange(len(rows)), [], 0
-        while True:  # row i with row i + far, for all buckets at once
+        last, found = np.searchsorted(group, group, "right"), []
+        order = np.lexsort((comp, group))
+        first = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (comp[order][1:] != comp[order][:-1])])
+        tree = np.empty(len(rows), np.int64)  # a row points to a row of its group and component
+        tree[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
+            differ = np.bitwise_count(bits[0][i] ^ bits[0][j]).astype(int) + np.bitwise_count(bits[1][i] ^ bits[1][j])
+            apart = (comp[i] != comp[j]) & ((role[i] == 0) | (role[i] != role[j]))
+            i, j = (side[(differ <= BITS - LEAST_BITS) & apart] for side in (i, j))
+            if len(i) > SMALL_GROUP:  # one pair of rows for each pair of components is enough
+                _, one = np.unique(np.stack([comp[i], comp[j]]), axis=1, return_index=True)
+                i, j = i[one], j[one]
+            for x, y in zip(i, j):
+                a, b = _root(tree, int(x)), _root(tree, int(y))
+                if a != b:
+                    tree[max(a, b)] = min(a, b)
+                    found.append((comp[x], comp[y]))
+
+        size = np.bincount(group, minlength=group[-1] + 1)[group]
+        at, far = np.flatnonzero(size <= SMALL_GROUP), 0
+        while len(at):  # row i with row i + far, for all small buckets at once
             far += 1
             at = at[at + far < last[at]]
-            if not len(at):
-                break
-            to = at + far
-            differ = np.bitwise_count(bits[0][at] ^ bits[0][to]).astype(int) + np.bitwise_count(bits[1][at] ^ bits[1][to])
-            hit = at[(differ <= BITS - LEAST_BITS) & (comp[at] != comp[to]) & ((role[at] == 0) | (role[at] != role[to]))]
-            while (tree[tree] != tree).any():
-                tree = tree[tree]
-            for i in hit[tree[hit] != tree[hit + far]]:
-                i, j = int(i), int(i) + far
-                x, y = i, j
-                while tree[x] != x:
-                    x = tree[x]
-                while tree[y] != y:
-                    y = tree[y]
-                if x != y:
-                    tree[max(x, y)] = min(x, y)
-                    found.append((rep[i], rep[j]))
+            meet(at, at + far)
+        for start in np.unique(group[size > SMALL_GROUP]):
+            lo, hi = np.searchsorted(group, [start, start + 1])
+            for i in lo + np.flatnonzero(role[lo:hi] < 2):
+                others = np.arange(lo, hi)
+                others = others[(others > i) | (role[lo:hi] == 2)]
+                meet(np.full(len(others), i), others)
         yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
@@ -165,9 +183,9 @@ def _links(percent: int):
         _, flat = np.unique(np.concatenate(list(sets)), return_inverse=True)
         ends = np.cumsum(sizes)
         starts, mark, found = ends - sizes, np.zeros(flat.max() + 1, np.int64), []
-        for i in range(len(rep) - 1):
-            open_ = (comp != comp[i]) & ((role == 0) | (role != role[i])) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            open_[:i + 1] = False
+        for i in np.flatnonzero(role < 2):
+            open_ = (comp != comp[i]) & ((role == 2) | ((role == 0) & (role[i] == 0))) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            open_[:i + 1] &= role[:i + 1] == 2
             if not open_.any():
                 continue
             own = flat[starts[i]:ends[i]]
@@ -190,14 +208,24 @@ def _links(percent: int):
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Groups (`key`, of `size` rows) of more than `size` rows become pairs of blocks: role 0 is compared inside, role 1 with role 2."""
-    n = F.ceil(F.col("size") / size).cast("int")
-    own = F.pmod(F.xxhash64("rep"), n).cast("int")
-    part = lambda i, j: F.least(i, j) * n + F.greatest(i, j)
-    other = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(part(own, j).alias("part"), F.when(own == j, 0).when(own < j, 1).otherwise(2).alias("role")))
-    kept = [c for c in rows.columns if c != "size"]
-    rows = rows.select(*kept, F.explode(other).alias("o")).select(*kept, "o.part", "o.role")
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
+    """Rows (key, rep, component, ...) of groups with several components, dealt to parts of a group. The rows outside the group's largest
+    component are cut into blocks of about `size`; a block meets itself (role 0), every other block (role 1 with role 2), and every block of
+    the largest component, whose rows have role 2 throughout: its first block joins the parts of role 0."""
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    groups = groups.filter("parts > 1").select("key", "largest", F.ceil((F.col("n") - F.col("n_largest")) / size).cast("int").alias("na"), F.ceil(F.col("n_largest") / size).cast("int").alias("nl"))
+    dealt = rows.join(groups, "key")
+    hot = F.col("component") == F.col("largest")
+    own = F.pmod(F.xxhash64("rep"), F.when(hot, F.col("nl")).otherwise(F.col("na"))).cast("int")
+    width = F.col("na") + F.col("nl")
+    part = lambda i, j: i * width + j
+    struct = lambda p, role: F.struct(p.cast("long").alias("part"), F.lit(role).alias("role") if isinstance(role, int) else role.alias("role"))
+    active = F.sequence(F.lit(0), F.col("na") - 1)
+    of_hot = F.transform(active, lambda i: struct(F.when(own == 0, part(i, i)).otherwise(part(i, F.col("na") + own)), 2))
+    with_active = F.transform(active, lambda j: struct(part(F.least(own, j), F.greatest(own, j)), F.when(own == j, 0).when(own < j, 1).otherwise(2)))
+    with_hot = F.transform(F.filter(F.sequence(F.lit(0), F.col("nl") - 1), lambda k: k > 0), lambda k: struct(part(own, F.col("na") + k), 1))
+    dealt = dealt.select(*rows.columns, F.explode(F.when(hot, of_hot).otherwise(F.concat(with_active, with_hot))).alias("o")).select(*rows.columns, "o.part", "o.role")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "rep")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -215,20 +243,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     lowest = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut_lineage(buckets.join(lowest, "key").select("key", "rep", "low"))
 
-    star = shared.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    links = cut_lineage(_confirm(star, nodes, texts, shingle, percent))
-
+    star = cut_lineage(shared.filter("rep <> low").select("rep", "low").distinct())
     label = lambda found: nodes.select("rep", "bits1", "bits2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    first = components(links)
+    links, first = None, None
+    for _ in range(ROUNDS):  # one edge a node, to the smallest node it may still be joined to
+        open_ = star
+        if first is not None:
+            known = lambda c: label(first).select(F.col("rep").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731, B023
+            open_ = star.join(known("rep"), "rep").join(known("low"), "low").filter("of_rep <> of_low")
+        pairs = open_.groupBy(F.col("rep").alias("a")).agg(F.min("low").alias("b"))
+        more = _confirm(pairs, nodes, texts, shingle, percent)
+        links = cut_lineage(more if links is None else links.unionByName(more))
+        first = components(links)
+
     seen = shared.select("key", "rep").join(label(first), "rep")
-    mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    close = map_pandas(_blocks(seen.join(mixed.select("key", "size"), "key"), BUCKET_BLOCK), _forest, "a long, b long")
-    family = components(close).select(F.col("node").alias("a"), F.col("component").alias("key"))
-    family = cut_lineage(family.unionByName(family.select(F.col("key").alias("a"), "key")).distinct())
-    sets = _sets_of(texts, family.select(F.col("a").alias("doc_id")), shingle)
-    member = family.join(label(first).withColumnRenamed("rep", "a"), "a").join(sets.withColumnRenamed("doc_id", "a"), "a").join(
-        family.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").select("key", F.col("a").alias("rep"), "component", "shingles", "size")
-    more = map_pandas(_blocks(member, SET_BLOCK), _links(percent), "a long, b long")
+    mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    close = map_pandas(_blocks(cut_lineage(seen.join(mixed, "key")), BUCKET_BLOCK), _forest, "a long, b long")
+    family = components(close).select(F.col("node").alias("component"), F.col("component").alias("key"))
+    family = cut_lineage(family.unionByName(family.select(F.col("key").alias("component"), "key")).distinct())
+    member = cut_lineage(label(first).join(family, "component").select("key", "rep", "component"))
+    sets = _sets_of(texts, member.select(F.col("rep").alias("doc_id")), shingle)
+    dealt = _blocks(member, SET_BLOCK).join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("key", "part").sortWithinPartitions("key", "part", "rep")
+    more = map_pandas(dealt, _links(percent), "a long, b long")
     links = cut_lineage(links.unionByName(more))
     found = components(links)
     of_set = nodes.select("d1", "d2", F.col("n").alias("n_shingles"), "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(

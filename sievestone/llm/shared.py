@@ -183,6 +183,20 @@ def shingle_hashes(words: np.ndarray, owners: np.ndarray, size: int) -> tuple[np
 
 # ---------------------------------------------------------------- connected components
 
+#: Nodes with more links than this and than one in HUBS of all links join in several parts; there are fewer than HUBS of them.
+HUB_LINKS, HUBS = 256, 10_000
+
+
+def _with_lowest(both: DataFrame, low: DataFrame, links: int) -> DataFrame:
+    """`both` (a, b) joined to `low` (a, m, n). A hub's rows are dealt to parts by their other end, its minimum goes to every part; the hubs'
+    names (fewer than HUBS) are broadcast."""
+    most = max(HUB_LINKS, 2 * links // HUBS)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hubs = F.broadcast(low.filter(F.col("n") > most).select("a", parts.alias("parts")))
+    dealt = both.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).cast("int").alias("part"))
+    return dealt.join(low.select("a", "m", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("part")), ["a", "part"]).drop("part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over `links` (a, b); nodes without links are absent.
 
@@ -197,8 +211,8 @@ def components(links: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_lowest(both, low, before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p"))
         pairs = cut_lineage(small.select("p.a", "p.b").filter("a <> b").distinct())
