@@ -27,15 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievestone.llm.bpe import BORDER, MARKS
-from sievestone.llm.shared import map_arrow, scratch, ship
+from sievestone.llm.shared import map_arrow, scratch, ship, slices
+from sievestone.llm.words import MARKS, WordIds, in_order
 
 MAGIC, VERSION, BLOCK_IDS, SHARD_IDS, NO_ID = b"BPLN", 1, 1 << 16, 1 << 21, -(1 << 63)
-KEEP = 500_000
+BATCH_BYTES = 16 << 20
 HEAD = struct.Struct("<4sBBBBIQII")
 
 
@@ -93,65 +94,52 @@ def read_shard(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 class Tokens:
-    """Ids of texts by a tokenizer file; repeated words are kept in two generations of KEEP entries. A space between two characters that
-    are not white space begins a piece of the tokenizer, so texts are encoded word by word. New words of letters only are encoded
-    in one call, joined by spaces: each begins with the only token that starts with a space."""
+    """Ids of texts by a tokenizer file, as its library gives them. Words are encoded once (`words`): new words of letters, also with a mark at
+    the end, in one call, joined by spaces, as each begins with the only token that starts with a space. A text that holds an added token is
+    encoded whole, since the library finds those before it cuts anything."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # how the vocabulary writes a space
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
         self.begins[[i for t, i in vocab.items() if t.startswith(space)]] = True
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self.each(list(MARKS))))
-
-    def each(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def joined(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, "<u4") if words else np.zeros(0, "<u4")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = WordIds(self.after_space, self.each)
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def after_space(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([w.isalpha() or (w[-1] in MARKS and w[:-1].isalpha()) for w in words], bool)
+        parts = [self.joined([w for w, p in zip(words, plain) if p]), self.each([" " + w for w, p in zip(words, plain) if not p])]
+        return in_order(parts, ~plain)
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, _ = self.each([" " + " ".join(words)])
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(words):
             return self.each([" " + w for w in words])
-        data, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-        return [data[s:e] for s, e in zip((starts * 4).tolist(), ends)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [BORDER.split(t) for t in texts]
-        if len(self.words) > KEEP:
-            self.old, self.words = self.words, {}
-        words, old, seen, letters, other, marked = self.words, self.old, set(), set(), [], []
-        for p in parts:
-            seen.update(p[1:])
-        for w in seen:
-            if w in words:
-                continue
-            if (known := old.get(w)) is not None:
-                words[w] = known
-            elif w.isalpha():
-                letters.add(w)
-            elif w[-1] in MARKS and w[:-1].isalpha():
-                marked.append(w)
-                base = w[:-1]
-                if base not in words:
-                    if base in old:
-                        words[base] = old[base]
-                    else:
-                        letters.add(base)
-            else:
-                other.append(w)
-        fresh = list(letters)
-        words.update(zip(fresh, self.joined(fresh)))
-        heads = self.each([*(p[0] for p in parts), *(" " + w for w in other)])
-        words.update(zip(other, heads[len(parts):]))
-        words.update((w, words[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        return [b"".join([head, *map(words.__getitem__, p[1:])]) for head, p in zip(heads, parts)]
+        return ids, np.diff(np.append(starts, len(ids)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, len + 1 borders)."""
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.words.encode(texts)
+        ids, borders = self.words.encode(pc.if_else(pa.array(whole), "", texts))
+        parts = [(ids, np.diff(borders)[~whole]), self.each([texts[int(i)].as_py() for i in np.flatnonzero(whole)])]
+        ids, sizes = in_order(parts, whole)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
 
 
 _TOKENS: dict[int, Tokens] = {}
@@ -169,28 +157,27 @@ def _shards(shared, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, end = _tokens(shared), struct.pack("<I", end_id)
+        tokens = _tokens(shared)
         task, number = TaskContext.get().partitionId(), 0
         docs, counts, parts, held = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            data = write_shard(docs, counts, np.frombuffer(b"".join(parts), "<u4"), kind)
+            data = write_shard(docs, counts, np.concatenate(parts), kind)
             row = [pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(row, names=["task", "number", "data"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [x.as_py() or "" for x in part.column(1)]
-                for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(texts)):
-                    ids += end
-                    docs.append(doc)
-                    counts.append(len(ids) // 4)
-                    parts.append(ids)
-                    held += counts[-1]
-                    if held >= SHARD_IDS:
-                        yield shard()
-                        docs, counts, parts, held, number = [], [], [], 0, number + 1
+        for part in (part for batch in batches for part in slices(batch, 1, BATCH_BYTES)):
+            ids, borders = tokens.encode(part.column(1))
+            ids = np.insert(ids, borders[1:], end_id)
+            borders = borders + np.arange(len(borders))
+            for doc, s, e in zip(part.column(0).to_pylist(), borders[:-1].tolist(), borders[1:].tolist()):
+                docs.append(doc)
+                counts.append(e - s)
+                parts.append(ids[s:e])
+                held += e - s
+                if held >= SHARD_IDS:
+                    yield shard()
+                    docs, counts, parts, held, number = [], [], [], 0, number + 1
         if docs:
             yield shard()
 

@@ -210,7 +210,6 @@ def test_planes_round_trip(kind):
 def test_planes_equal_tokenizer(spark):
     docs = read(spark, SMALL, "documents").select("doc_id", "text").unionByName(odd(spark, [(r[0] + 1000, *r[1:]) for r in ODD if r[0] and r[0] != 6]).select("doc_id", "text"))
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     out, at = planes.written_and_read(docs, TOKENIZER, 2).orderBy("doc_id").collect(), 0
     for row, own in zip(docs.orderBy("doc_id").collect(), out, strict=True):
         ids = [*tokenizer.encode(row.text or "", add_special_tokens=False).ids, 2]
