@@ -6,7 +6,8 @@ shorter one where two neighbours could not stand side by side: two tokens are co
 just these two again. Compatibility is memoised, and a position from which no way on was found is never tried twice, so the work is
 linear; the result equals the merges by rank.
 
-Pieces repeat, so their ids are kept in two generations of bounded size in each Python worker.
+Words repeat, so each is encoded once (`words`). New words of letters go through the automaton together; those whose longest matches are all
+compatible are done, the others are encoded one by one.
 
 Edge cases: null and empty texts have no ids; a piece may be as long as the text; repeated rows are encoded alike.
 """
@@ -15,8 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,12 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.llm.shared import ship
+from sievestone.llm.shared import ship, slices
+from sievestone.llm.words import MARKS, WordIds, gather, in_order
 
-KEEP = 150_000
-LONG_PIECE = 200
-MARKS = ".,;:!?"
-BORDER = re.compile(r"(?<=\S) (?=\S)")
+FITS, JOINED, BATCH_BYTES = 2_000_000, 20_000, 16 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,29 +37,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-class Kept(dict):
-    """Results of `make`, at most two generations of KEEP entries."""
-
-    def __init__(self, make, worth):
-        super().__init__()
-        self.make, self.worth, self.old = make, worth, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONG_PIECE and self.worth(key):
-            if len(self) >= KEEP:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
@@ -73,7 +47,13 @@ class Encoder:
         self.fits: dict[int, bool] = {}
         self.prefix: dict[int, int] = {}
         self.split = regex.compile(pattern).findall
-        self.pieces, self.words = Kept(self.piece, len), Kept(self.word, str.isalpha)
+        self.begins = np.zeros(max(self.tokens) + 1, bool)
+        self.begins[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
+        sizes = np.zeros(len(self.begins), np.int64)
+        sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), np.uint8)
+        self.words = WordIds(self.after_space, self.each)
 
     def merged(self, data: bytes) -> list[int]:
         """Merges by rank, as defined: only for two joined tokens, whose length is bounded."""
@@ -90,7 +70,7 @@ class Encoder:
         key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 2 * KEEP:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
             known = self.fits[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
@@ -141,31 +121,50 @@ class Encoder:
                 at -= len(tokens[token])
                 token = self.shorter(token)
 
-    def piece(self, piece: str) -> bytes:
-        return pack(self.encode_bytes(piece.encode()))
-
-    def word(self, word: str) -> bytes:
-        """A word between single spaces, with the space before it: no piece goes over such a border."""
-        if word.isalpha():
-            return pack(self.encode_bytes((" " + word).encode()))
-        if word[-1] in MARKS and word[:-1].isalpha():
-            return self.words[word[:-1]] + self.pieces[word[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(encoded_parts(text, self.words, lambda x: b"".join(map(self.pieces.__getitem__, self.split(x)))))
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def encoded_parts(text: str, words: dict, other) -> Iterator[bytes]:
-    """A text encoded word by word: a space between two characters that are not white space always begins a piece, so texts
-    are cut there. `words` encodes a part with such a space before it, `other` the part at the start."""
-    parts = BORDER.split(text)
-    yield other(parts[0])
-    yield from map(words.__getitem__, parts[1:])
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), by the pattern's pieces."""
+        found = [[i for piece in self.split(t) for i in self.encode_bytes(piece.encode())] for t in texts]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def after_space(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words with a space before each: letters, also with a mark at the end, are one piece and the mark."""
+        marked = np.array([w[-1] in MARKS and w[:-1].isalpha() for w in words], bool)
+        plain = np.array([m or w.isalpha() for w, m in zip(words, marked)], bool)
+        letters = [w[:-1] if m else w for w, m, p in zip(words, marked, plain) if p]
+        parts = [self.joined(letters[at:at + JOINED]) for at in range(0, len(letters), JOINED)] or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        ends, own = np.cumsum(sizes), marked[plain]
+        marks = [self.ranks[w[-1].encode()] for w, m in zip(words, marked) if m]
+        ids, sizes = np.insert(ids, ends[own], np.array(marks, np.uint32)), sizes + own
+        return in_order([(ids, sizes), self.each([" " + w for w, p in zip(words, plain) if not p])], ~plain)
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters in one call of the automaton."""
+        chars = (" " + " ".join(words)).encode().decode("latin-1")
+        ids = np.array([token for _, (_, token) in self.automaton.iter_long(chars)], np.int64)
+        first = self.begins[ids]
+        starts = np.flatnonzero(first)
+        if len(starts) != len(words):
+            return self.each([" " + w for w in words])
+        inner = np.flatnonzero(~first)
+        pairs, back = np.unique(ids[inner - 1] << 32 | ids[inner], return_inverse=True)
+        fits, compatible = self.fits, self.compatible
+        known = np.array([k if (k := fits.get(p)) is not None else compatible(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], bool)
+        sizes = np.diff(np.append(starts, len(ids)))
+        wrong = np.zeros(len(words), bool)
+        wrong[np.searchsorted(starts, inner[~known[back]], "right") - 1] = True
+        if not wrong.any():
+            return ids.astype(np.uint32), sizes
+        again = [self.encode_bytes((" " + words[i]).encode()) for i in np.flatnonzero(wrong)]
+        kept = ids[np.repeat(~wrong, sizes)].astype(np.uint32)
+        return in_order([(kept, sizes[~wrong]), (np.array([i for x in again for i in x], np.uint32), np.array([len(x) for x in again], np.int64))], wrong)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, len + 1 borders)."""
+        return self.words.encode(texts)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return gather(self.bytes, self.starts[ids], self.sizes[ids]).tobytes()
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -183,14 +182,13 @@ def _encoder(shared) -> Encoder:
 def _run(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        for batch in batches:
-            n, ids, back = [], [], []
-            for text in batch.column(1):
-                own = encoder.encode(text.as_py() or "")
-                n.append(len(own) // 4)
-                ids.append(hashlib.sha256(own).hexdigest())
-                back.append(hashlib.sha256(encoder.decode(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
+        for batch in (part for whole in batches for part in slices(whole, 1, BATCH_BYTES)):
+            ids, borders = encoder.encode(batch.column(1))
+            digests, back = [], []
+            for s, e in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                digests.append(hashlib.sha256(ids[s:e].astype("<u4").tobytes()).hexdigest())
+                back.append(hashlib.sha256(encoder.decode(ids[s:e])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(borders)), pa.array(digests, pa.string()), pa.array(back, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -199,11 +197,10 @@ def _run(shared):
 def _ids(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = [encoder.encode(text.as_py() or "") for text in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["doc_id", "ids"])
+        for batch in (part for whole in batches for part in slices(whole, 1, BATCH_BYTES)):
+            ids, borders = encoder.encode(batch.column(1))
+            own = [ids[s:e].astype("<u4").tobytes() for s, e in zip(borders[:-1].tolist(), borders[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -212,7 +209,8 @@ def _texts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.decode(x.as_py() or b"") for x in batch.column(1)], pa.binary())], names=["doc_id", "bytes"])
+            back = [encoder.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], names=["doc_id", "bytes"])
 
     return run
 
