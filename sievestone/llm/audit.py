@@ -114,8 +114,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(shared):
-    """Of slices of (row, lang, source, text), for the chunks in the filters: (chunk, lang, source, n), and (chunk, lang, row) of those whose
-    documents are to be told apart."""
+    """(chunk, lang, source, n, row) of slices of (row, lang, source, text), for the chunks in the filters: a row for each document where
+    documents are to be told apart, else one for each source, with null for the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, apart = shared.value
@@ -128,18 +128,18 @@ def _occurrences(shared):
             both = chunk * len(langs) + lang[owner]
             known, back = np.unique(both, return_inverse=True)
             places = _places(of_chunk[known // len(langs)], of_lang[known % len(langs)])
-            hit, told = _in(wanted, places)[back], _in(apart, places)[back]
+            told = _in(apart, places)[back]
+            hit = _in(wanted, places)[back] & ~told
             key = both[hit] * len(sources) + source[owner[hit]]
             order = np.argsort(key, kind="stable")
             first = _runs(key[order])
-            n = np.add.reduceat(times[hit][order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
-            key = key[order][first]
-            pair = np.concatenate([key // len(sources), both[told]])
-            nulls = np.arange(len(pair)) >= len(key)
-            blank = lambda x: pa.array(np.concatenate([x, np.zeros(len(pair) - len(key), np.int64)]), mask=nulls)
+            n = np.add.reduceat(times[hit][order], first) if len(first) else np.zeros(0, np.int64)
+            key = np.concatenate([key[order][first], both[told] * len(sources) + source[owner[told]]])
+            pair = key // len(sources)
+            rows = np.concatenate([np.zeros(len(first), np.int64), row[owner[told]]])
             yield pa.RecordBatch.from_arrays(
-                [chunks.take(pa.array(pair // len(langs))), langs.take(pa.array(pair % len(langs))), sources.take(blank(key % len(sources))), blank(n),
-                 pa.array(np.concatenate([np.zeros(len(key), np.int64), row[owner[told]]]), mask=~nulls)], names=["chunk", "lang", "source", "n", "row"])
+                [chunks.take(pa.array(pair // len(langs))), langs.take(pa.array(pair % len(langs))), sources.take(pa.array(key % len(sources))),
+                 pa.array(np.concatenate([n, times[told]]).astype(np.int64)), pa.array(rows, mask=np.arange(len(rows)) < len(first))], names=["chunk", "lang", "source", "n", "row"])
 
     return run
 
@@ -164,12 +164,11 @@ def kept_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = _table(chunks.select("chunk", "lang", F.explode("terms").alias("term")).join(open_, ["lang", "term"]), "found")
     shared = docs.sparkSession.sparkContext.broadcast((bloom(found), bloom(found.filter("not proven"))))
     counted = map_arrow(rows, _occurrences(shared), "chunk string, lang string, source string, n long, row long").join(found, ["chunk", "lang"])
-    counted = counted.filter("row is null or not proven").groupBy("lang", "term", "proven", "source", "row").agg(F.sum("n").alias("n"))
-    counted = _table(counted, "counted")
+    own = F.when(F.col("proven"), F.lit(None)).otherwise(F.col("row")).alias("row")
+    counted = _table(counted.select("lang", "term", "proven", "source", own, "n").groupBy("lang", "term", "proven", "source", "row").agg(F.sum("n").alias("n")), "counted")
     enough = counted.filter("row is not null").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least).select("lang", "term")
-    by_source = counted.filter("row is null").select("lang", "source", "term", "n", "proven")
-    more = by_source.filter("not proven").join(enough, ["lang", "term"], "left_semi")
-    return _table(by_source.filter("proven").unionByName(more.select(by_source.columns)).drop("proven"), "counts")
+    more = counted.filter("not proven").join(enough, ["lang", "term"], "left_semi").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    return _table(counted.filter("proven").select("lang", "source", "term", "n").unionByName(more), "counts")
 
 
 def _share(n, of) -> F.Column:
@@ -207,14 +206,15 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     of = (F.coalesce("total", F.lit(0)) + PLUS * F.col("v")).alias("of")
     groups = groups.withColumn("code", code).join(kept, "lang", "left").join(sums, ["lang", "source"], "left").select("lang", "source", "code", F.coalesce("v", F.lit(0)).alias("v"), of)
-    groups = cut_lineage(groups.withColumn("p0", F.when(F.col("v") > 0, _share("0L", "of"))))
+    groups = groups.withColumn("p0", F.when(F.col("v") > 0, _share("0L", "of")))
+    blocks = groups.groupBy("lang").agg((F.max("code") / SOURCES).cast("int").alias("last"), F.ceil(F.first("v") / TERMS).cast("int").alias("slices"))
+    groups = cut_lineage(groups.join(blocks, "lang"))
     shares = counts.join(groups, ["lang", "source"]).withColumn("p", _share("n", "of"))
 
     # pairs: a term's share goes to every block of sources its own block meets
-    blocks = groups.groupBy("lang").agg((F.max("code") / SOURCES).cast("int").alias("last"), F.ceil(F.first("v") / TERMS).cast("int").alias("slices")).filter("slices > 0")
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j"))))
-    entries = shares.select("lang", "code", "term", "p").join(blocks, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int"))
-    lists = groups.filter("v > 0").select("lang", "code", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p")).join(blocks, "lang").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    entries = shares.select("lang", "code", "term", "p", "last", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice"))
+    lists = groups.filter("v > 0").select("lang", "code", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), "last", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     met = entries.unionByName(lists).withColumn("own", (F.col("code") / SOURCES).cast("int")).withColumn("m", meet).select("lang", "code", "term", "p", "slice", "m.i", "m.j")
     parts = met.groupBy("lang", "i", "j", "slice").applyInPandas(_distances, "lang string, a int, b int, part long")
     both = parts.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
