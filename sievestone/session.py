@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder so later jobs start from files, not from a long plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once a session; Spark itself copies the archive to the executors."""
+    context = spark.sparkContext
+    if getattr(context, "_sievestone_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / "sievestone.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._sievestone_shipped = True

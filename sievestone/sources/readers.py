@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sievestone.functions.columns import count_when, named
 from sievestone.operators.prepare import COMMA_NUMBER, CONTAINER, is_number
+from sievestone.sources.quoted_csv import read_quoted
 
 HEAD_BYTES, HEAD_LINES = 64 * 1024, 50
 DELIMITERS = [",", ";", "\t", "|"]
@@ -83,7 +84,7 @@ def _head(spark: SparkSession, path: str) -> list[bytes]:
 
 
 def sniff(spark: SparkSession, path: str) -> dict:
-    """Encoding, delimiter, header, and whether quoted values hold line breaks: one aggregation over all lines of all files.
+    """Encoding, delimiter, header, and whether quoted values may hold line breaks (a line with an odd number of quotes): one aggregation over all lines of all files.
 
     A byte that is not UTF-8 makes the file western, wherever it stands. The delimiter is the one most lines have as often as the
     header line (quoted parts left out), then the one the header has most often.
@@ -106,18 +107,27 @@ def sniff(spark: SparkSession, path: str) -> dict:
     return {"encoding": encoding, "delimiter": delimiter, "header": unique_headers(header), "multiline": found["open"] > 0}
 
 
-def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """Every column as text (typing is the next step's job), plus what was sniffed. For ';' files one aggregation decides
-    whether the comma is the decimal mark. Files with line breaks inside quotes are read whole, all others in splits."""
-    info = sniff(spark, path)
+def _plain_csv(spark: SparkSession, path: str, info: dict) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in info["header"]])
     western = info["encoding"] == "windows-1252"  # Spark reads it as ISO-8859-1, which differs in the control range only
     df = spark.read.csv(path, sep=info["delimiter"], encoding="ISO-8859-1" if western else info["encoding"], header=True, schema=schema,
-                        enforceSchema=True, multiLine=info["multiline"], escape='"', mode="PERMISSIVE")
+                        enforceSchema=True, escape='"', mode="PERMISSIVE")
     if western:
         pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
         seen, shown = "".join(a for a, b in pairs if b), "".join(b for _, b in pairs if b)
         df = df.select(*[F.translate(named(c), seen, shown).alias(c) for c in info["header"]])
+    return df
+
+
+def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Every column as text (typing is the next step's job), plus what was sniffed. For ';' files one aggregation decides
+    whether the comma is the decimal mark. Files are read in splits, also where quoted values hold line breaks."""
+    info = sniff(spark, path)
+    if info["multiline"]:
+        encoding = {"UTF-8": "utf-8", "windows-1252": "cp1252", "ISO-8859-1": "latin-1"}[info["encoding"]]
+        df = read_quoted(spark, path, info["delimiter"], encoding, info["header"])
+    else:
+        df = _plain_csv(spark, path, info)
     info["decimal"] = "."
     if info["delimiter"] == ";":
         aggregates = [e for i, c in enumerate(info["header"]) for e in (
