@@ -115,13 +115,13 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("changed"))
 
 
-@query("add_irrelevant_columns", f"""WITH {SALES_SQL} SELECT row_id, CAST({q.below(q.md5_of('5/integer', 'row_id'), 1000)} AS DOUBLE) AS x_uniform_int,
- ['p', 'q', 'r'][CAST({q.below(q.md5_of('5/cat3', 'row_id'), 3)} AS BIGINT) + 1] AS x_cat3, 'c' || {q.below(q.md5_of('5/cat30', 'row_id'), 30)} AS x_cat30,
- 'same' AS x_constant, price AS x_copy_of_price, price * 0.5 + 3.0 AS x_linear_of_price, CAST(row_id AS DOUBLE) AS x_row_id,
- CAST({q.number_at(q.md5_of('5/id', 'row_id'))} AS DOUBLE) AS x_random_id, printf('user_%012d', row_id) AS x_string_id FROM sales""")
+@query("add_irrelevant_columns", f"""WITH {SALES_SQL} SELECT row_id, 'key-' || row_id AS junk_text_key, CAST(row_id AS DOUBLE) AS junk_number_key,
+ CAST({q.number_at(q.md5_of('5/key', 'row_id'))} AS DOUBLE) AS junk_random_key, 7.0::DOUBLE - 2.0::DOUBLE * price AS junk_turned, price AS junk_twin, 'only' AS junk_fixed,
+ ['a', 'b', 'c', 'd'][CAST({q.below(q.md5_of('5/few', 'row_id'), 4)} AS BIGINT) + 1] AS junk_few, 'group ' || {q.below(q.md5_of('5/many', 'row_id'), 25)} AS junk_many,
+ CAST({q.below(q.md5_of('5/whole', 'row_id'), 500)} AS DOUBLE) AS junk_whole FROM sales""")
 def _(spark, sf):
     wide = inject.add_irrelevant_columns(sales(spark, sf), "row_id", "price", 5)
-    return wide.select("row_id", *[c for c in wide.columns if c.startswith("x_") and c != "x_gaussian"])
+    return wide.select("row_id", *[c for c in wide.columns if c.startswith("junk_") and c != "junk_normal"])
 
 
 @query("inject_joint_outliers")

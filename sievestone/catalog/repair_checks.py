@@ -89,7 +89,7 @@ def _(spark, sf):
     return spark.createDataFrame([(c, c in found) for c in ("zero_heavy", "price")], "column string, is_point_mass boolean")
 
 
-@query("propose_duplicate_removal", f"""WITH {SALES_SQL}, {q.with_duplicates('sales', 'dirty', COLS, 0.05, 13)} SELECT row_id, 'exact copy of row ' || first_row AS original_value, 'drop row' AS proposed_value
+@query("propose_duplicate_removal", f"""WITH {SALES_SQL}, {q.with_duplicates('sales', 'dirty', COLS, 0.05, 13)} SELECT row_id, 'same record as row ' || first_row AS original_value, 'drop row' AS proposed_value
  FROM (SELECT row_id, min(row_id) OVER (PARTITION BY {', '.join(COLS)}) AS first_row FROM dirty) WHERE row_id <> first_row""")
 def _(spark, sf):
     dirty = inject.inject_duplicates(sales(spark, sf), "row_id", 0.05, 13).frame

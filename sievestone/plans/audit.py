@@ -110,11 +110,11 @@ def audit(df: DataFrame, row_id: str, target: str | None = None, task: str = "cl
         rows = model_rows.count()
         if "label_errors" in wanted:
             if target is None:
-                skipped["label_errors"] = "no target column selected"
+                skipped["label_errors"] = "needs a target"
             elif not numbers and not texts:
-                skipped["label_errors"] = "no modellable feature columns"
+                skipped["label_errors"] = "needs a usable feature column"
             elif task == "regression" and rows < MIN_TARGET_ROWS:
-                skipped["label_errors"] = "fewer than 50 rows with a target"
+                skipped["label_errors"] = "needs 50 rows with a target"
             elif task == "regression":
                 scored = cut_lineage(labels.target_scores(model_rows, row_id, target, numbers, texts, folds, trees, seed))
                 flagged = scored.filter(F.col("z") > labels.TARGET_Z)
@@ -127,7 +127,7 @@ def audit(df: DataFrame, row_id: str, target: str | None = None, task: str = "cl
                 parts.append(pr.propose_labels(flagged, target))
         if "feature_corruption" in wanted:
             if len(numbers) + len(texts) < 2:
-                skipped["feature_corruption"] = "needs at least 2 modellable feature columns"
+                skipped["feature_corruption"] = "needs two usable feature columns"
             else:
                 suspects = cut_lineage(features.cross_feature_scores(model_rows, row_id, numbers, texts, folds, trees, seed))
                 flagged = features.suspicious_cells(suspects)
