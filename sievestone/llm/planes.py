@@ -103,6 +103,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every word comes once
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # how the vocabulary writes a space
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
