@@ -46,6 +46,24 @@ def _(spark, sf):
     return readers.read_csv(spark, f"{folder}/customer.csv")[0]
 
 
+@query("csv_quoted_breaks", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, text FROM documents")
+def _(spark, sf):
+    folder = scratch(spark)
+    texts = read(spark, sf, "documents").select("doc_id", "source", "text")
+    texts.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/documents.csv")
+    return readers.read_csv(spark, f"{folder}/documents.csv")[0]
+
+
+@query("csv_stray_quote", """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_partkey % 50 = 7 THEN p_size || '" ' || p_brand ELSE p_brand END AS shown, p_type FROM part""")
+def _(spark, sf):
+    folder = scratch(spark)
+    shown = F.when(F.col("p_partkey") % 50 == 7, F.concat(F.col("p_size").cast("string"), F.lit('" '), F.col("p_brand"))).otherwise(F.col("p_brand"))
+    lines = read(spark, sf, "part").select(F.concat_ws("|", F.col("p_partkey").cast("string"), shown, "p_type").alias("value"))
+    head = spark.range(1).select(F.lit("p_partkey|shown|p_type").alias("value"))
+    head.unionByName(lines).coalesce(1).write.text(f"{folder}/part.csv")
+    return readers.read_csv(spark, f"{folder}/part.csv")[0]
+
+
 @query("json_lines_flattened", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k", event_type FROM events""")
 def _(spark, sf):
     folder = scratch(spark)

@@ -168,3 +168,17 @@ def _(spark, sf):
         F.when(F.col("price") < 100000, "small").when(F.col("price") < 300000, "middle").otherwise("large").alias("size"),
         F.col("priority").startswith("1").cast("int").alias("urgent"),
         F.when(F.col("status") == "F", 1).when(F.col("status") == "O", 0).alias("status_code"), F.col("nation").alias("country"))
+
+
+@query("typing_applied_to_other_rows", """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 1 THEN NULL ELSE o_totalprice END AS price,
+ CASE WHEN o_orderkey % 5 = 0 THEN -9.0 ELSE o_custkey % 40 END::DOUBLE AS visits, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS priority,
+ CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey::DOUBLE END AS code FROM orders WHERE o_orderkey % 4 = 0""")
+def _(spark, sf):
+    """Codes and placeholders are decided on three quarters of the rows; a code that only the others hold stays a number."""
+    key, kept = F.col("o_orderkey"), F.col("o_orderkey") % 4 != 0
+    raw = read(spark, sf, "orders").select(
+        key.alias("row_id"), F.when(key % 7 == 1, -999.0).otherwise(F.col("o_totalprice")).alias("price"),
+        F.when(~kept & (key % 5 == 0), -9).otherwise(F.col("o_custkey") % 40).alias("visits"),
+        F.when(key % 3 == 0, "n/a").otherwise(F.col("o_orderpriority")).alias("priority"),
+        F.when(~kept & (key % 11 == 0), "not a number").otherwise(F.col("o_custkey").cast("string")).alias("code"))
+    return prepare(raw.filter("row_id % 4 <> 0"), "row_id").apply(raw.filter("row_id % 4 = 0"))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievestone.session import cut_lineage
+
 PREFIX_DIGITS = 3  # hex digits counted per step: at most 4,096 counts per group come back to the driver
 GROUP_ROWS = 2_000_000  # rows one task orders at most when numbering rows in hash order
-SLICES = 200       # value ranges a running total is cut into on large inputs
-SMALL_ROWS = 200_000  # below this many distinct values one task sorts them all
+SLICE_ROWS = 500_000  # rows of a value range that one task orders
+SMALL_ROWS = 200_000  # up to this many distinct values one task sorts them all
 
 
 def hash_cuts(hashed: DataFrame, wanted: dict) -> dict:
@@ -65,36 +67,28 @@ def hash_cut(df: DataFrame, hashed: Column, k: int) -> str:
     return hash_cuts(df.select(F.lit("all").alias("grp"), hashed.alias("h")), {"all": [k]})["all"][0]
 
 
-def running_totals(df: DataFrame, order: str, totals: list[str]) -> DataFrame:
+def in_ranges(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """`df` as a written table in ranges of `order`, numbered by `_slice`: at least two, and about SLICE_ROWS rows each."""
+    return cut_lineage(df.repartitionByRange(max(2, -(-rows // SLICE_ROWS)), order).withColumn("_slice", F.spark_partition_id()))
+
+
+def running_totals(df: DataFrame, order: str, totals: list[str], small_rows: int = SMALL_ROWS) -> DataFrame:
     """Adds `<name>_before`: the sum of `name` over all rows with a smaller `order` value (values are distinct).
 
-    Large inputs are cut into value ranges; ranges are summed in one aggregation, and each task then only orders
-    its own range. The ranges come from approximate quantiles, which affect balance but never the result.
+    Inputs of more than `small_rows` rows are cut into value ranges; ranges are summed in one aggregation, and each task then only
+    orders its own range. What comes before a range is a window over the ranges, one row each.
     """
     count = df.count()
-    if count <= SMALL_ROWS:
+    inside = W.partitionBy("_slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    if count <= small_rows:
         sliced = df.withColumn("_slice", F.lit(0))
-        window = W.partitionBy("_slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        for name in totals:
-            sliced = sliced.withColumn(f"{name}_before", F.coalesce(F.sum(name).over(window), F.lit(0)))
-        return sliced.drop("_slice")
-    probes = [i / SLICES for i in range(1, SLICES)]
-    edges = df.agg(F.percentile_approx(order, probes, 10_000).alias("e")).first()["e"]
-    edges = sorted(set(edges))
-    sliced = df.withColumn(
-        "_slice", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda edge: edge < F.col(order))))
-    per_slice = sliced.groupBy("_slice").agg(*[F.sum(name).alias(name) for name in totals]).collect()
-    starts, so_far = {}, {name: 0 for name in totals}
-    for row in sorted(per_slice, key=lambda row: row["_slice"]):
-        starts[row["_slice"]] = dict(so_far)
-        for name in totals:
-            so_far[name] += row[name]
-    window = W.partitionBy("_slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    for name in totals:
-        start = F.create_map(*[F.lit(x) for pair in ((s, v[name]) for s, v in starts.items()) for x in pair])
-        sliced = sliced.withColumn(
-            f"{name}_before", F.coalesce(F.sum(name).over(window), F.lit(0)) + start[F.col("_slice")])
-    return sliced.drop("_slice")
+        return sliced.select(*sliced.columns, *[F.coalesce(F.sum(name).over(inside), F.lit(0)).alias(f"{name}_before") for name in totals]).drop("_slice")
+    sliced = in_ranges(df, order, count)
+    earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = sliced.groupBy("_slice").agg(*[F.sum(name).alias(f"_sum_{name}") for name in totals])
+    starts = starts.select("_slice", *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_start_{name}") for name in totals])
+    joined = sliced.join(F.broadcast(starts), "_slice")  # one row per SLICE_ROWS rows
+    return joined.select(*df.columns, *[(F.coalesce(F.sum(name).over(inside), F.lit(0)) + F.col(f"_start_{name}")).alias(f"{name}_before") for name in totals])
 
 
 def value_ranks(df: DataFrame, column: Column) -> DataFrame:

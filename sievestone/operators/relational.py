@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from sievestone.functions.columns import named
 from sievestone.functions.hashing import draw
-from sievestone.operators.ranks import hash_cut
+from sievestone.operators.ranks import hash_cut, in_ranges, running_totals
 
+BLOCK_ROWS = 100_000  # neighbouring axis rows one task smooths
 
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", validate: str | None = None) -> DataFrame:
     """A join that refuses duplicate keys on the side that must be unique ('many_to_one', 'one_to_many', 'one_to_one')."""
@@ -68,11 +69,19 @@ def crosstab_share(df: DataFrame, rows: str, columns: str) -> DataFrame:
 
 
 def moving_average(points: DataFrame, order: str, value: str, width: int = 5, at_least: int = 1, group: list[str] | None = None) -> DataFrame:
-    """Centred moving average over an ordered axis (one row per axis value), null below `at_least` points."""
+    """Centred moving average over an ordered axis (one row per axis value), null below `at_least` points. Without groups the rows are
+    numbered along the axis and cut into blocks; the few rows at a block's edge also go to its neighbour."""
     half = width // 2
-    keyed = points.withColumn("_g", F.lit(0))
-    window = W.partitionBy(*(group or ["_g"])).orderBy(order).rowsBetween(-half, half)
-    return keyed.withColumn("smoothed", F.when(F.count(value).over(window) >= at_least, F.avg(value).over(window))).drop("_g")
+    smooth = lambda window: F.when(F.count(value).over(window) >= at_least, F.avg(value).over(window))
+    if group:
+        return points.withColumn("smoothed", smooth(W.partitionBy(*group).orderBy(order).rowsBetween(-half, half)))
+    numbered = running_totals(points.withColumn("_one", F.lit(1)), order, ["_one"], small_rows=0).withColumnRenamed("_one_before", "_at")
+    size = max(BLOCK_ROWS, 2 * width)
+    own, inside = F.floor(F.col("_at") / size), F.pmod("_at", F.lit(size))
+    blocks = F.array_compact(F.array(own, F.when(inside < half, own - 1), F.when(inside >= size - half, own + 1)))
+    spread = numbered.withColumn("_own", own).withColumn("_block", F.explode(blocks))
+    window = W.partitionBy("_block").orderBy("_at").rowsBetween(-half, half)
+    return spread.withColumn("smoothed", smooth(window)).filter("_block = _own").drop("_one", "_at", "_own", "_block")
 
 
 def dense_axis(points: DataFrame, order: str, value: str, size: str, at_least: int) -> DataFrame:
@@ -84,15 +93,22 @@ def dense_axis(points: DataFrame, order: str, value: str, size: str, at_least: i
 
 
 def interpolate(points: DataFrame, order: str, value: str) -> DataFrame:
-    """Missing axis values filled on the straight line between their known neighbours."""
-    keyed = points.withColumn("_g", F.lit(0))
-    before = W.partitionBy("_g").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("_g").orderBy(order).rowsBetween(0, W.unboundedFollowing)
+    """Missing axis values filled on the straight line between their known neighbours. The axis is cut into ranges; a range gets the last
+    known point before it and the first one after it from a table with one row a range."""
+    sliced = in_ranges(points, order, points.count())
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("x"), F.col(value).alias("y")))
-    left, right = F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after)
+    edges = sliced.groupBy("_slice").agg(F.min(known).alias("first"), F.max(known).alias("last"))
+    earlier, later = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
+    edges = edges.select("_slice", F.last("last", ignorenulls=True).over(earlier).alias("_before"), F.first("first", ignorenulls=True).over(later).alias("_after"))
+    joined = sliced.join(F.broadcast(edges), "_slice")  # one row per range
+    inside = W.partitionBy("_slice").orderBy(order)
+    left = F.coalesce(F.last(known, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_before"))
+    right = F.coalesce(F.first(known, ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)), F.col("_after"))
+    found = joined.withColumn("_left", left).withColumn("_right", right)
+    left, right = F.col("_left"), F.col("_right")
     line = F.when(left["x"] == right["x"], left["y"]).otherwise(
         left["y"] + (right["y"] - left["y"]) * (F.col(order) - left["x"]) / (right["x"] - left["x"]))
-    return keyed.withColumn("filled", F.coalesce(F.col(value), line)).drop("_g")
+    return found.select(*points.columns, F.coalesce(F.col(value), line).alias("filled"))
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, spread: Column, parts: int = 32) -> DataFrame:

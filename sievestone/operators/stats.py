@@ -12,7 +12,7 @@ from sievestone.functions.columns import count_when, named
 from sievestone.functions.hashing import draw, draw_unit
 from sievestone.functions.normal import chi2_cdf, student_cdf, student_quantile
 from sievestone.operators.quantiles import quantiles
-from sievestone.operators.ranks import attach_ranks
+from sievestone.operators.ranks import attach_ranks, running_totals
 
 
 # --- association -------------------------------------------------------------------------------------------------
@@ -201,8 +201,8 @@ def equal_width_bins(df: DataFrame, column: str, bins: int) -> Column:
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """value, code: levels numbered in sorted order (a dictionary of levels, not rows)."""
     levels = df.filter(named(column).isNotNull()).groupBy(named(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return levels.withColumn("_g", F.lit(0)).withColumn("code", F.dense_rank().over(W.partitionBy("_g").orderBy("value")) - 1).select(
-        "value", "n", "code")
+    numbered = running_totals(levels.withColumn("_one", F.lit(1)), "value", ["_one"], small_rows=0)
+    return numbered.select("value", "n", F.col("_one_before").cast("int").alias("code"))
 
 
 def ordinal_code(column: str, order: list[str]) -> Column:
