@@ -6,18 +6,16 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievestone.functions.columns import named
+from sievestone.operators.detect import value_counts
 from sievestone.operators.pool import together
-from sievestone.operators.propose import modes
 from sievestone.operators.quantiles import medians
 from sievestone.operators.ranks import running_totals
 from sievestone.operators.sampling import folds as with_folds
@@ -25,6 +23,7 @@ from sievestone.session import cut_lineage
 
 CLASSIFIERS = ("logistic", "random_forest", "boosting", "neural_net")
 REGRESSORS = ("ridge", "random_forest", "boosting")
+MAX_LEVELS = 1000  # of a text column on average; more are refused, not cut
 
 
 @dataclass
@@ -35,11 +34,21 @@ class Encoder:
     texts: list[str]
     middle: dict
     frequent: dict
-    model: object
-    size: int
+    levels: dict[str, list[str]]
+    centre: dict[str, tuple[float, float]]
+
+    @property
+    def size(self) -> int:
+        return sum(len(v) for v in self.levels.values()) + len(self.numbers)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_filled(df, self.numbers, self.texts, self.middle, self.frequent))
+        """`df` with the vector: one place per known level of each text (all zero for another value), then the numbers."""
+        filled = _filled(df, self.numbers, self.texts, self.middle, self.frequent)
+        places = [(F.col(f"_t{i}") == F.lit(level)).cast("double") for i, c in enumerate(self.texts) for level in self.levels[c]]
+        for i, c in enumerate(self.numbers):
+            mean, spread = self.centre[c]
+            places.append(((F.col(f"_n{i}") - F.lit(mean)) / F.lit(spread)) if spread else F.lit(0.0))
+        return filled.withColumn("features", array_to_vector(F.array(*places)))
 
 
 def _filled(df, numbers, texts, middle, frequent):
@@ -48,25 +57,30 @@ def _filled(df, numbers, texts, middle, frequent):
 
 
 def fit_encoder(train: DataFrame, numbers: list[str], texts: list[str], scale: bool = True) -> Encoder:
-    middle, frequent = medians(train, numbers), modes(train, texts)
-    stages = []
+    """Medians, moments of the filled numbers, and counted levels: the levels a text may have are bounded by the typing step. Modes and levels
+    come from one count of values."""
+    middle = medians(train, numbers)
+    counts: dict[str, dict[str, int]] = {c: {} for c in texts}
     if texts:
-        stages.append(StringIndexer(inputCols=[f"_t{i}" for i in range(len(texts))], outputCols=[f"_i{i}" for i in range(len(texts))],
-                                    handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=[f"_i{i}" for i in range(len(texts))], outputCols=[f"_o{i}" for i in range(len(texts))],
-                                    dropLast=True))
-    number_part = []
-    if numbers:
-        stages.append(VectorAssembler(inputCols=[f"_n{i}" for i in range(len(numbers))], outputCol="_numbers"))
-        number_part = ["_numbers"]
-        if scale:
-            stages.append(StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True))
-            number_part = ["_scaled"]
-    stages.append(VectorAssembler(inputCols=[f"_o{i}" for i in range(len(texts))] + number_part, outputCol="features"))
-    filled = _filled(train, numbers, texts, middle, frequent)
-    model = Pipeline(stages=stages).fit(filled)
-    levels = [len(labels) for labels in model.stages[0].labelsArray] if texts else []
-    return Encoder(numbers, texts, middle, frequent, model, sum(levels) + len(numbers))
+        found = value_counts(train, texts).limit(MAX_LEVELS * len(texts) + 1).collect()
+        if len(found) > MAX_LEVELS * len(texts):
+            raise ValueError(f"more than {MAX_LEVELS} levels a text column: leave out texts that are no categories")
+        for row in found:
+            counts[row["column"]][row["value"]] = row["n"]
+    frequent = {c: min(found, key=lambda v: (-found[v], v)) for c, found in counts.items() if found}
+    rows = train.count() if texts else 0
+    levels = {}
+    for c in texts:
+        present = set(counts[c])
+        if sum(counts[c].values()) < rows:
+            present.add(frequent.get(c) or "missing")
+        levels[c] = sorted(present)
+    centre = {c: (0.0, 1.0) for c in numbers}
+    if numbers and scale:
+        filled = _filled(train, numbers, [], middle, {})
+        row = filled.agg(*[e for i in range(len(numbers)) for e in (F.avg(f"_n{i}").alias(f"m{i}"), F.stddev_samp(f"_n{i}").alias(f"s{i}"))]).first()
+        centre = {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(numbers)}
+    return Encoder(numbers, texts, middle, frequent, levels, centre)
 
 
 def classes_of(df: DataFrame, target: str) -> list[str]:

@@ -72,7 +72,7 @@ def in_ranges(df: DataFrame, order: str, rows: int) -> DataFrame:
     return cut_lineage(df.repartitionByRange(max(2, -(-rows // SLICE_ROWS)), order).withColumn("_slice", F.spark_partition_id()))
 
 
-def running_totals(df: DataFrame, order: str, totals: list[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def running_totals(df: DataFrame, order: str, totals: list[str], small_rows: int | None = None) -> DataFrame:
     """Adds `<name>_before`: the sum of `name` over all rows with a smaller `order` value (values are distinct).
 
     Inputs of more than `small_rows` rows are cut into value ranges; ranges are summed in one aggregation, and each task then only
@@ -80,7 +80,7 @@ def running_totals(df: DataFrame, order: str, totals: list[str], small_rows: int
     """
     count = df.count()
     inside = W.partitionBy("_slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    if count <= small_rows:
+    if count <= (SMALL_ROWS if small_rows is None else small_rows):
         sliced = df.withColumn("_slice", F.lit(0))
         return sliced.select(*sliced.columns, *[F.coalesce(F.sum(name).over(inside), F.lit(0)).alias(f"{name}_before") for name in totals]).drop("_slice")
     sliced = in_ranges(df, order, count)
