@@ -66,9 +66,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """
     parts = F.slice(F.split("formatted", r"<s>\[ROLE\]"), 2, F.lit(1 << 30))
     block = lambda p: F.split(F.regexp_replace(p, "</s>$", ""), r"\[TEXT\]", 2)
-    head = lambda p, k: F.length(block(p)[0]) + len(START + ROLE + TEXT) + F.when(k > 0, len(END)).otherwise(0)
-    turns = F.flatten(F.transform(parts, lambda p, k: F.transform(F.split(block(p)[1], r"\[NEXT\]", -1), lambda x, i: F.struct(
-        unescape(block(p)[0]).alias("role"), unescape(x).alias("text"), F.length(x).alias("chars"), F.when(i > 0, len(NEXT)).otherwise(head(p, k)).alias("marks")))))
+    cut = F.transform(parts, lambda p: block(p))
+    blocks = F.transform(cut, lambda b, k: F.struct(unescape(b[0]).alias("role"), F.split(b[1], r"\[NEXT\]", -1).alias("texts"),
+                                                    (F.length(b[0]) + len(START + ROLE + TEXT) + F.when(k > 0, len(END)).otherwise(0)).alias("head")))  # once a block, not once a message
+    turns = F.flatten(F.transform(blocks, lambda b: F.transform(b["texts"], lambda x, i: F.struct(
+        b["role"].alias("role"), unescape(x).alias("text"), F.length(x).alias("chars"), F.when(i > 0, len(NEXT)).otherwise(b["head"]).alias("marks")))))
     runs = formatted.withColumn("turns", turns)
     # the run after each run of marks belongs to the message in the same place
     placed = F.transform("turns", lambda t, i: F.struct(t["text"].alias("text"), F.get("mask", 2 * i + 1)["loss"].alias("loss"), (
