@@ -219,16 +219,27 @@ def _(spark, sf):
     return ap.audit_log(state.prepared.source, out, "row_id", COLS)
 
 
-@query("review_summary", FIX + """, dup AS (SELECT * FROM dirty ANTI JOIN kept USING (row_id)) SELECT 'duplicates' AS issue_key, 'Duplicate row' AS problem, count(*) AS proposed, 0::BIGINT AS flag_only FROM dup""")
+def _unusual(c):
+    """Values beyond the quartile fences but inside the wide ones: flagged, never clipped."""
+    side = lambda t, name: f"(SELECT {name} FROM {t} WHERE col = '{c}')"
+    outside = lambda t: f"({c} < {side(t, 'lo')} OR {c} > {side(t, 'hi')})"
+    return f"SELECT row_id, 'outliers' AS issue_key, 'flagged_only' AS action FROM dirty WHERE {outside('f')} AND NOT {outside('g')}"
+
+
+REVIEW = FIX + ", work AS (SELECT row_id, 'duplicates' AS issue_key, 'flagged_for_review' AS action FROM dirty ANTI JOIN kept USING (row_id) UNION ALL " + " UNION ALL ".join(map(_unusual, NUMS)) + ") "
+
+
+@query("review_summary", REVIEW + f"""SELECT issue_key, CASE issue_key WHEN 'duplicates' THEN '{pr.PROBLEMS['duplicates']}' ELSE '{pr.PROBLEMS['outliers']}' END AS problem,
+ count(*) FILTER (action = 'flagged_for_review') AS proposed, count(*) FILTER (action = 'flagged_only') AS flag_only FROM work GROUP BY issue_key""")
 def _(spark, sf):
     _, out = fixed(spark, sf, {"missing_values", "outliers"})
-    return ap.review_summary(out.log).filter("issue_key = 'duplicates'")
+    return ap.review_summary(out.log)
 
 
-@query("review_worklist", FIX + "SELECT row_id, 'duplicates' AS issue_key, 'flagged_for_review' AS action FROM dirty ANTI JOIN kept USING (row_id)")
+@query("review_worklist", REVIEW + "SELECT * FROM work")
 def _(spark, sf):
     _, out = fixed(spark, sf, {"missing_values", "outliers"})
-    return ap.review_worklist(out.log).filter("issue_key = 'duplicates'").select("row_id", "issue_key", "action")
+    return ap.review_worklist(out.log).select("row_id", "issue_key", "action")
 
 
 @query("repair_log_page")
@@ -264,14 +275,18 @@ def _(spark, sf):
     return ap.apply_proposals(state.prepared, state.proposals, {"missing_values"}).cleaned.select("row_id", "comma_price")
 
 
-@query("rates_after_cleaning", FIX + f""", c AS (SELECT row_id, {', '.join(_final(c) for c in COLS)} FROM kept k, md) SELECT 'missing_values' AS issue_key, 0.0::DOUBLE AS rate FROM c GROUP BY 1
- UNION ALL SELECT 'duplicates', round(1 - count(DISTINCT ({', '.join(COLS)})) / count(*)::DOUBLE, 6) FROM c""")
+AFTER_OUTSIDE = " OR ".join(f"{c} < (SELECT lo FROM h WHERE col = '{c}') OR {c} > (SELECT hi FROM h WHERE col = '{c}')" for c in NUMS)
+AFTER_VARIANTS = " OR ".join(f"{c} IN (SELECT {c} FROM (SELECT {c}, count(*) OVER (PARTITION BY lower(trim({c}))) AS k FROM (SELECT DISTINCT {c} FROM c)) WHERE k > 1)" for c in SALES_TEXTS)
+
+
+@query("rates_after_cleaning", FIX + f""", c AS (SELECT row_id, {', '.join(_final(c) for c in COLS)} FROM kept k, md), {q.fences('c', 'h', NUMS)} SELECT 'missing_values' AS issue_key, 0.0::DOUBLE AS rate FROM c GROUP BY 1
+ UNION ALL SELECT 'duplicates', round(1 - count(DISTINCT ({', '.join(COLS)})) / count(*)::DOUBLE, 6) FROM c
+ UNION ALL SELECT 'outliers', round(count(*) FILTER ({AFTER_OUTSIDE}) / count(*)::DOUBLE, 6) FROM c UNION ALL SELECT 'inconsistency', round(count(*) FILTER ({AFTER_VARIANTS}) / count(*)::DOUBLE, 6) FROM c""")
 def _(spark, sf):
     from sievestone.plans.audit import after_cleaning
 
     state, out = fixed(spark, sf, ALL_THREE)
-    rates = after_cleaning(out.cleaned, state.prepared).filter("issue_key in ('missing_values', 'duplicates')")
-    return rates.select("issue_key", F.round("rate_after_cleaning", 6).alias("rate"))
+    return after_cleaning(out.cleaned, state.prepared).select("issue_key", F.round("rate_after_cleaning", 6).alias("rate"))
 
 
 @query("table_diff", f"""WITH {SALES_SQL}, {q.with_missing('sales', 'dirty', COLS, ['segment', 'balance'], 0.02, 7)} SELECT row_id, 'segment' AS "column" FROM dirty WHERE segment IS NULL UNION ALL
