@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sievestone.llm.shared import ship, slices
 from sievestone.llm.words import MARKS, WordIds, gather, in_order
 
-FITS, JOINED, BATCH_BYTES = 2_000_000, 20_000, 16 << 20
+FITS, JOINED, BATCH_BYTES = 2_000_000, 20_000, 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

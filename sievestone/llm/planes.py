@@ -36,7 +36,7 @@ from sievestone.llm.shared import map_arrow, scratch, ship, slices
 from sievestone.llm.words import MARKS, WordIds, in_order
 
 MAGIC, VERSION, BLOCK_IDS, SHARD_IDS, NO_ID = b"BPLN", 1, 1 << 16, 1 << 21, -(1 << 63)
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 HEAD = struct.Struct("<4sBBBBIQII")
 
 

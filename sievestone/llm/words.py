@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Known words at most, and the longest word worth keeping.
-KEEP, LONG = 1_500_000, 200
+KEEP, LONG = 1_300_000, 200
 #: Marks that are a piece of their own after letters.
 MARKS = ".,;:!?"
 
