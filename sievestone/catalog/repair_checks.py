@@ -248,7 +248,13 @@ def _(spark, sf):
     return ap.log_page(out.log, action="applied", issue="missing_values", offset=100, size=50)
 
 
-@query("run_summary")
+FIXES = " UNION ALL ".join([f"SELECT row_id FROM dirty WHERE {c} IS NULL" for c in COLS] + [
+    f"SELECT row_id FROM dirty WHERE {c} < (SELECT lo FROM g WHERE col = '{c}') OR {c} > (SELECT hi FROM g WHERE col = '{c}')" for c in NUMS])
+
+
+@query("run_summary", REVIEW + f""", fixes AS ({FIXES}), said AS (SELECT 'rows_uploaded' AS metric, count(*) AS value FROM dirty UNION ALL SELECT 'rows_after_cleaning', count(*) FROM kept
+ UNION ALL SELECT 'cells_modified', count(*) FROM fixes SEMI JOIN kept USING (row_id) UNION ALL SELECT 'applied', (SELECT count(*) FROM fixes SEMI JOIN kept USING (row_id)) + count(*) FROM dirty ANTI JOIN kept USING (row_id)
+ UNION ALL SELECT 'skipped_row_dropped', count(*) FROM fixes ANTI JOIN kept USING (row_id) UNION ALL SELECT 'flagged_only', count(*) FROM work WHERE issue_key = 'outliers') SELECT * FROM said WHERE value > 0""")
 def _(spark, sf):
     state, out = fixed(spark, sf, ALL_THREE)
     return ap.run_summary(state.prepared.source, out)

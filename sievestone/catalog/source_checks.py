@@ -118,7 +118,7 @@ def _(spark, sf):
     return out
 
 
-@query("fit_log_append")
+@query("fit_log_append", "SELECT 'random_forest' AS model, 2::BIGINT AS fits, CAST((SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS BIGINT) AS rows")
 def _(spark, sf):
     folder = f"{scratch(spark)}/fits"
     for name in ("orders", "customer"):
