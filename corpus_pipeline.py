@@ -16,6 +16,8 @@ from sievestone.session import cut_lineage
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the learned lexicon does not call toxic. A row is judged by its own text: null and empty texts get the score of a text
+    without hits, rows with a null or repeated doc_id are judged alike, and an empty table stays empty."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -32,10 +34,13 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that hold no benchmark item. A row is judged by its own text, whatever its doc_id; null and empty texts hold none, and an
+    empty table stays empty."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of digests for every row: null and empty texts have no ids, repeated rows come back as often, an empty table gives no rows."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -45,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`; a stage that keeps no row leaves an empty table to the next."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, name)
