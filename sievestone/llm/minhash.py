@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievestone.llm.shared import components, map_arrow, map_pandas, mix, odd_numbers, shingle_hashes, slices, text_bytes, word_hashes
+from sievestone.llm.shared import components, map_arrow, map_pandas, mix, odd_numbers, shingle_hashes, slices, text_bytes, word_hashes, written
 from sievestone.session import cut_lineage
 
 SIDE, WIDTH, BITS = 10, 2, 128
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     tables = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
     buckets = nodes.select(F.explode(tables).alias("key"), "rep")
     lowest = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut_lineage(buckets.join(lowest, "key").select("key", "rep", "low"))
+    shared = written(buckets.join(lowest, "key").select("key", "rep", "low"), "buckets")
 
-    star = cut_lineage(shared.filter("rep <> low").select("rep", "low").distinct())
+    star = written(shared.filter("rep <> low").select("rep", "low").distinct(), "star")
     label = lambda found: nodes.select("rep", "bits1", "bits2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     links, first = None, None
     for _ in range(ROUNDS):  # one edge a node, to the smallest node it may still be joined to
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
 
     seen = shared.select("key", "rep").join(label(first), "rep")
     mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    close = map_pandas(_blocks(cut_lineage(seen.join(mixed, "key")), BUCKET_BLOCK), _forest, "a long, b long")
+    close = map_pandas(_blocks(written(seen.join(mixed, "key"), "mixed"), BUCKET_BLOCK), _forest, "a long, b long")
     family = components(close).select(F.col("node").alias("component"), F.col("component").alias("key"))
     family = cut_lineage(family.unionByName(family.select(F.col("key").alias("component"), "key")).distinct())
     member = cut_lineage(label(first).join(family, "component").select("key", "rep", "component"))

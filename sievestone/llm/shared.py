@@ -31,6 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a Parquet table of the shared folder and read back: a fraction of a checkpoint's bytes for columns of numbers."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, once a session; Spark itself copies the archive to the executors."""
     context = spark.sparkContext
