@@ -58,3 +58,18 @@ def test_typing_of_train_rows_holds_for_test_rows(spark):
     typed = {r.row_id: (r.v, r.t) for r in prepare(train, "row_id").apply(test).collect()}
     assert typed == {100: (None, None), 101: (-9.0, None), 102: (-9.0, "x"), 103: (-9.0, "x")}
     assert [r.t for r in prepare(train, "row_id").apply(test.drop("t")).collect()] == [None] * 4
+
+
+def test_forests_keep_node_ids_and_large_folds_follow_each_other(spark, monkeypatch):
+    for made in (models.classifier("random_forest", 2, 0, 3, 7), models.regressor("random_forest", 3, 7)):
+        assert made.getCacheNodeIds() and made.getCheckpointInterval() == -1
+    data = table(spark).withColumn("_y", (F.col("y") == "yes").cast("double"))
+    ready = models.fit_encoder(data, TASK.numbers, TASK.texts).transform(data).select("row_id", "y", "_y", "features").cache()
+    kind, used = models.classifier("random_forest", 2, 0, 3, 7), []
+    plain = kind.copy({kind.cacheNodeIds: False})
+    monkeypatch.setattr(models, "together", lambda jobs, threads: used.append(threads) or [job() for job in jobs])
+    keep = ["row_id", "prediction"]
+    rows = lambda made: sorted(map(tuple, models.out_of_fold(ready, "row_id", "y", made, 3, 1, keep).collect()))
+    small = rows(kind)
+    monkeypatch.setattr(models, "FOREST_CELLS", 600 * 7 - 1)
+    assert small == rows(plain) and len(small) == 600 and used == [3, 1]
