@@ -145,7 +145,9 @@ def _warc(values, name: str, number: int, size: int) -> bytes:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    rows.select("name", F.expr("cast(data as string)").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").partitionBy("name").text(path)
+    """One gzipped file a row, at the fastest level: a better one took most of the job's time and saved an eighth of the bytes."""
+    files = rows.select("name", F.expr("cast(data as string)").alias("value")).write.option("maxRecordsPerFile", 1)
+    files.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").partitionBy("name").text(path)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
