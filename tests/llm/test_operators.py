@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievestone.llm import archives, bpe, chat, decontaminate, minhash, planes, shards, toxicity, urls, vectors
-from sievestone.llm.shared import components, read
+from sievestone.llm.shared import LEAST_TASKS, components, read
 
 SMALL = "/root/testdata/sf0.001"
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,22 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_of_few_links_take_few_tasks(spark):
+    """A chain, a star and a pair give the same classes in a few tasks, however many shuffle partitions the session has."""
+    chain = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(10, 60)] + [(3, 2), (3, 2), (5, 5)]
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame(chain, "a long, b long"))
+        assert found.rdd.getNumPartitions() <= LEAST_TASKS
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {(r[0], r[1]) for r in found.collect()} == {(i, 100) for i in range(101, 141)} | {(i, 7) for i in range(10, 60)} | {(3, 2)}
+
+
 def test_chat_round_trip(spark):
     rnd, pieces = random.Random(5), ["<s>", "</s>", "[ROLE]", "[TEXT]", "[NEXT]", "[INST]", "\\", "<", "[", "<\\s>", "x", "\n", "<|im_end|>", "<<SYS>>", "é"]
     word = lambda: "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 6)))
