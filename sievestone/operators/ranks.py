@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sievestone.session import cut_lineage
 
 PREFIX_DIGITS = 3  # hex digits counted per step: at most 4,096 counts per group come back to the driver
+COLLECT_HASHES = 100_000  # hashes left in all open blocks before they are read directly
 GROUP_ROWS = 2_000_000  # rows one task orders at most when numbering rows in hash order
 SLICE_ROWS = 500_000  # rows of a value range that one task orders
 SMALL_ROWS = 200_000  # up to this many distinct values one task sorts them all
@@ -19,44 +20,48 @@ def hash_cuts(hashed: DataFrame, wanted: dict) -> dict:
 
     `hashed` holds `grp` and `h` (32 hex digits, unique within a group); `wanted` maps a group to the ks it needs
     (1-based). Picking "the first k rows in hash order" is then the narrow filter h <= cut: no sort, no shuffle of
-    the rows. A step returns only prefix counts; the next step looks inside the one prefix that holds the cut.
+    the rows. A step returns only prefix counts, as a sum of numbers that needs no sort either; the next step looks inside
+    the one prefix that holds the cut, and reads its hashes as soon as few are left.
     """
     pending = {(group, k): ("", k) for group, ks in wanted.items() for k in ks if k > 0}
     cuts: dict = {}
-    depth = 0
+    digits, left_in, known = PREFIX_DIGITS, {}, 0
     while pending:
-        if depth == 0:
+        open_blocks = {(group, prefix) for (group, _), (prefix, _) in pending.items()}
+        if known == 0:
             block = hashed
         else:
-            open_blocks = {(group, prefix) for (group, _), (prefix, _) in pending.items()}
+            if sum(left_in.values()) <= COLLECT_HASHES:
+                digits = 32
             inside = F.lit(False)
             for group, prefix in open_blocks:
                 same = F.col("grp").isNull() if group is None else F.col("grp") == F.lit(group)
                 inside = inside | (same & F.col("h").startswith(prefix))
             block = hashed.filter(inside)
         counts = (
-            block.groupBy("grp", F.substring("h", 1, (depth + 1) * PREFIX_DIGITS).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"))
+            block.groupBy("grp", F.substring("h", 1, digits).alias("prefix"))
+            .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
         by_block: dict = {}
         for row in counts:
-            by_block.setdefault((row["grp"], row["prefix"][: depth * PREFIX_DIGITS]), []).append(row)
-        still_open = {}
+            by_block.setdefault((row["grp"], row["prefix"][:known]), []).append(row)
+        still_open, left_in = {}, {}
         for (group, k), (prefix, left) in pending.items():
             rows = sorted(by_block.get((group, prefix), []), key=lambda row: row["prefix"])
             for row in rows:
                 if left <= row["n"]:
-                    if row["n"] == 1 or (depth + 1) * PREFIX_DIGITS >= 32:
-                        cuts[(group, k)] = row["low"]
+                    if digits >= 32:
+                        cuts[(group, k)] = row["prefix"]
                     else:
                         still_open[(group, k)] = (row["prefix"], left)
+                        left_in[(group, row["prefix"])] = row["n"]
                     break
                 left -= row["n"]
             else:
                 cuts[(group, k)] = "g"  # fewer than k rows: above every hex digit, so all are picked
         pending = still_open
-        depth += 1
+        known, digits = digits, digits + PREFIX_DIGITS
     return {group: [cuts.get((group, k), "") for k in ks] for group, ks in wanted.items()}
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievestone.operators import apply as ap
-from sievestone.operators import inject, joint, policy
+from sievestone.operators import inject, joint, policy, ranks
 from sievestone.operators.knn import like_row_cells
 from sievestone.operators.models import auc, least_squares
 from sievestone.operators.prepare import prepare
@@ -221,3 +221,31 @@ def test_rotation_is_one_cycle(spark):
         own = [r for r in rows if r["g"] == g]
         expected |= {r["id"]: own[(i + 1) % len(own)]["v"] for i, r in enumerate(own)}
     assert {r["id"]: r["n"] for r in rotated(df, ["g"], "h", "v", "n").collect()} == expected
+
+
+def test_cuts_count_without_sorting(spark, monkeypatch):
+    plans = []
+    frame = type(spark.range(1))
+    collect = frame.collect
+
+    def noted(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    hashed = spark.range(5000).select(F.lit("all").alias("grp"), F.md5(F.col("id").cast("string")).alias("h"))
+    hashes = sorted(r["h"] for r in hashed.collect())
+    monkeypatch.setattr(frame, "collect", noted)
+    for few in (0, ranks.COLLECT_HASHES):
+        monkeypatch.setattr(ranks, "COLLECT_HASHES", few)
+        assert ranks.hash_cuts(hashed, {"all": [1, 2500, 5000, 5001]}) == {"all": [hashes[0], hashes[2499], hashes[4999], "g"]}
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
+def test_combined_errors_are_read_from_written_steps(spark):
+    left = spark.range(400).select(F.col("id").alias("row_id"), F.rand(1).alias("a"), F.concat(F.lit("t"), F.col("id") % 5).alias("b"))
+    table = left.join(spark.range(400).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("y")), "row_id")
+    step = inject.inject_all(table, "row_id", ["a", "b"], "y", 0.1, 3)
+    counts = {r["error_type"]: r["count"] for r in step.log.groupBy("error_type").count().collect()}
+    assert counts.pop("feature_corruption") <= 80 and counts == {"missing_values": 80, "outliers": 40, "label_errors": 40, "duplicates": 40}
+    plan = step.log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the numbers of the copies meet the starts of their prefixes
