@@ -155,9 +155,10 @@ def _(spark, sf):
 @query("imputation_quality", MIX + """, m AS (SELECT quantile_cont(balance, 0.5) AS mid FROM dirty) SELECT 'balance' AS "column", count(*) AS cells, round(avg((s.balance = mid)::INT), 6) AS exact_share,
  round(avg(abs(s.balance - mid)), 2) AS mean_error, round(avg((mid NOT IN (SELECT balance FROM dirty WHERE balance IS NOT NULL))::INT), 6) AS novel_share FROM sales s JOIN dirty_hit h ON h.row_id = s.row_id AND h.col = 'balance' CROSS JOIN m""")
 def _(spark, sf):
-    broken = inject.inject_missing(sales(spark, sf), "row_id", COLS, 0.05, 7)
-    filled = pr.propose_missing(prepare(broken.frame, "row_id"), knn=False).filter("column = 'balance'").select("row_id", "column", "proposed_number")
-    known = broken.frame.select(F.col("balance").alias("proposed_number")).distinct().withColumn("seen", F.lit(True))
+    broken = inject.inject_missing(cut_lineage(sales(spark, sf)), "row_id", COLS, 0.05, 7)
+    dirty = cut_lineage(broken.frame)
+    filled = pr.propose_missing(prepare(dirty, "row_id"), knn=False).filter("column = 'balance'").select("row_id", "column", "proposed_number")
+    known = dirty.select(F.col("balance").alias("proposed_number")).distinct().withColumn("seen", F.lit(True))
     truth = broken.log.select("row_id", "column", F.col("original_value").cast("double").alias("truth"))
     joined = filled.join(truth, ["row_id", "column"]).join(known, "proposed_number", "left")
     return joined.groupBy("column").agg(

@@ -249,3 +249,10 @@ def test_combined_errors_are_read_from_written_steps(spark):
     assert counts.pop("feature_corruption") <= 80 and counts == {"missing_values": 80, "outliers": 40, "label_errors": 40, "duplicates": 40}
     plan = step.log._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the numbers of the copies meet the starts of their prefixes
+
+
+def test_cells_to_propose_leave_after_the_explode(spark):
+    rows = frame(spark).withColumn("spend", F.when(F.col("row_id") % 10 > 0, F.col("spend")))
+    for proposals in (propose_missing(prepare(rows, "row_id"), knn=False), audit(rows, "row_id", detectors={"missing_values"}).proposals):
+        assert proposals.filter("column = 'spend'").count() == 40
+    assert "lambda" not in propose_missing(prepare(rows, "row_id"), knn=False)._jdf.queryExecution().optimizedPlan().toString()
