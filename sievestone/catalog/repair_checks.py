@@ -175,7 +175,7 @@ FIX = f"""WITH {BROKEN}, {q.fences('dirty', 'f', NUMS)}, {q.fences('dirty', 'g',
 
 
 def broken(spark, sf):
-    moved = inject.inject_outliers(sales(spark, sf), "row_id", COLS, 0.04, 11).frame
+    moved = inject.inject_outliers(cut_lineage(sales(spark, sf)), "row_id", COLS, 0.04, 11).frame
     gappy = cut_lineage(inject.inject_missing(moved, "row_id", COLS, 0.03, 7).frame)
     return cut_lineage(inject.inject_duplicates(gappy, "row_id", 0.03, 13).frame)
 

@@ -14,6 +14,7 @@ from sievestone.operators.overlay import overlay
 from sievestone.operators.prepare import Prepared, kind_of
 from sievestone.operators.propose import as_written
 from sievestone.operators.ranks import hash_ranks
+from sievestone.session import cut_lineage
 
 # Fixed order in which issues write; the first writer of a cell wins.
 APPLY_ORDER = ["inconsistency", "missing_values", "outliers", "feature_corruption", "label_errors", "duplicates"]
@@ -85,7 +86,7 @@ def apply_proposals(prepared: Prepared, proposals: DataFrame, issues: set[str],
                     hold_codes: bool = False, out_of_scope: set[str] = frozenset(), policy: DataFrame | None = None) -> Applied:
     """The cleaned table and its log. Detection is not repeated: everything comes from `proposals`."""
     decided = decide_actions(proposals, issues, overrides, hold_codes, out_of_scope)
-    decided = decided.withColumn("applied_value", F.when(F.col("action") == "applied", written_value(prepared)))
+    decided = cut_lineage(decided.withColumn("applied_value", F.when(F.col("action") == "applied", written_value(prepared))))  # read by drops, changes and log
     changes = decided.filter("action = 'applied' and issue_key <> 'duplicates'").select(
         "row_id", "column", F.col("applied_value").alias("value"))
     types = {}

@@ -177,7 +177,8 @@ def observed_table(spark, counts: dict[str, tuple[float, int]], proposals: DataF
 
 
 def after_cleaning(cleaned: DataFrame, prepared: Prepared, declared=None, keep=None) -> DataFrame:
-    """Rates of the cheap detectors on the cleaned table."""
+    """Rates of the cheap detectors on the cleaned table, which is written first: the detectors read it some fifteen times."""
+    cleaned = cut_lineage(cleaned)
     again = prepare(cleaned, prepared.row_id, prepared.target, prepared.task, declared, keep)
     rates = {"missing_values": detect.missing_rates(again.frame, again.numbers + again.texts).first()["rate"],
              "duplicates": detect.duplicate_rate(again.frame, pr.record_columns(again)).first()["rate"]}

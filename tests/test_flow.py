@@ -256,3 +256,16 @@ def test_cells_to_propose_leave_after_the_explode(spark):
     for proposals in (propose_missing(prepare(rows, "row_id"), knn=False), audit(rows, "row_id", detectors={"missing_values"}).proposals):
         assert proposals.filter("column = 'spend'").count() == 40
     assert "lambda" not in propose_missing(prepare(rows, "row_id"), knn=False)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cleaned_rows_are_written_before_they_are_checked(spark, monkeypatch):
+    from sievestone.operators import detect
+    from sievestone.plans.audit import after_cleaning
+
+    rows = frame(spark)
+    joined = rows.join(rows.select(F.col("row_id").alias("other")).filter("other < 300"), F.col("row_id") == F.col("other")).drop("other")
+    state, seen, rates = prepare(rows, "row_id"), [], detect.missing_rates
+    monkeypatch.setattr(detect, "missing_rates", lambda df, columns: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or rates(df, columns))
+    found = {r["issue_key"]: r["rate_after_cleaning"] for r in after_cleaning(joined, state).collect()}
+    assert found["missing_values"] == 0 and found["duplicates"] == 0
+    assert seen and "Join" not in seen[0]
