@@ -73,3 +73,8 @@ def test_forests_keep_node_ids_and_large_folds_follow_each_other(spark, monkeypa
     small = rows(kind)
     monkeypatch.setattr(models, "FOREST_CELLS", 600 * 7 - 1)
     assert small == rows(plain) and len(small) == 600 and used == [3, 1]
+
+
+def test_matrices_take_few_tasks():
+    assert [fits.tasks_of(rows, 14, 12) for rows in (0, 900, 20_001, 103_064, 720_000, 7_200_000)] == [1, 1, 2, 6, 12, 72]
+    assert fits.tasks_of(720_000, 3000, 12) == 36 and fits.tasks_of(720_000, 40, 12) == 15
