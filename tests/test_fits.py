@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sievestone.operators import apply as ap
 from sievestone.operators import models
 from sievestone.operators.models import Task
 from sievestone.operators.prepare import prepare
 from sievestone.plans import compare, fits
+from sievestone.plans.audit import audit
 from sievestone.plans.fits import Fit, class_scores, encode, fit_all, fit_one
 
 TASK = Task("row_id", "y", ["a", "b"], ["g"])
@@ -78,3 +80,13 @@ def test_forests_keep_node_ids_and_large_folds_follow_each_other(spark, monkeypa
 def test_matrices_take_few_tasks():
     assert [fits.tasks_of(rows, 14, 12) for rows in (0, 900, 20_001, 103_064, 720_000, 7_200_000)] == [1, 1, 2, 6, 12, 72]
     assert fits.tasks_of(720_000, 3000, 12) == 36 and fits.tasks_of(720_000, 40, 12) == 15
+
+
+def test_arms_are_made_without_numbering_a_log(spark, monkeypatch):
+    numbered = []
+    monkeypatch.setattr(ap, "hash_ranks", lambda *a, made=ap.hash_ranks: numbered.append(1) or made(*a))
+    data = table(spark, 300)
+    _, frames = compare.repair_arms(data, TASK, ("missing_values", "duplicates", "outliers"), 1, 5, 2)
+    assert not numbered and frames["missing_values"].filter("b is null").count() == 0
+    out = ap.apply_proposals((state := audit(data, "row_id", "y", detectors={"missing_values"})).prepared, state.proposals, {"missing_values"})
+    assert out.log.filter("action = 'applied'").count() == data.filter("b is null").count() and out.log is out.log and len(numbered) == 1
