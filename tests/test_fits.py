@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sievestone.catalog import model_checks
 from sievestone.operators import apply as ap
 from sievestone.operators import models
 from sievestone.operators.models import Task
@@ -82,6 +83,19 @@ def test_matrices_take_few_tasks():
     assert fits.tasks_of(720_000, 3000, 12) == 36 and fits.tasks_of(720_000, 40, 12) == 15
 
 
+def test_baseline_models_encode_once(spark, monkeypatch):
+    data, seen = table(spark).select("row_id", (F.col("a") * 30).alias("quantity"), F.col("b").alias("balance"), F.lit(1.0).alias("items"), (F.col("row_id") % 11).cast("double").alias("discount"),
+                                     F.col("g").alias("segment"), F.col("g").alias("priority"), F.when(F.col("y") == "yes", "big").otherwise("small").alias("size")), []
+    monkeypatch.setattr(model_checks, "labelled", lambda spark, sf: data)
+    for module in (fits, models):
+        monkeypatch.setattr(module, "fit_encoder", lambda *a, made=models.fit_encoder: seen.append(1) or made(*a))
+    rows = {r.model: r for r in model_checks.QUERIES["baseline_models"](spark, "").collect()}
+    train, test = model_checks.parts(data)
+    assert len(seen) == 1 and set(rows) == set(models.CLASSIFIERS)
+    want = models.evaluate(model_checks.CLASSES, "logistic", train, test)
+    assert (rows["logistic"].macro_f1, rows["logistic"].accuracy, rows["logistic"].auc) == pytest.approx((want["score"], want["accuracy"], want["auc"]), abs=1e-6)
+
+
 def test_arms_are_made_without_numbering_a_log(spark, monkeypatch):
     numbered = []
     monkeypatch.setattr(ap, "hash_ranks", lambda *a, made=ap.hash_ranks: numbered.append(1) or made(*a))
