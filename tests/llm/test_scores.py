@@ -129,3 +129,20 @@ def test_a_trie_carries_only_what_scoring_reads():
     # 'r' after "ab" both times: the context was seen twice and one symbol follows it, so 2 of 3 shares
     ab_r = sum(s << ppm.WIDTH * i for i, s in enumerate(reversed(b"abr")))
     assert trie.log10p(np.array([ab_r], np.uint64))[0] == pytest.approx(np.log10(2 / 3))
+
+
+def test_grams_that_are_rare_in_a_large_corpus_count(spark):
+    texts = ["%s %s" % (w, w[::-1]) for w in ("qvjkzwpxhy", "bnmtgrfdsl")]
+    texts.append(texts[1])
+    long = (1 << 20) + 5000
+    model = Brute([t.encode() for t in texts] + [b"x" * 20], 5, 1 << 40)
+    for k in range(6):
+        for f in (model.follow, model.kept):
+            f[(120,) * k][120] += (long - 20) * (f is model.follow or model.kept[(120,) * k] is not model.follow[(120,) * k])
+    rows = [*enumerate(texts), (3, "x" * long), (4, "qvjkz bnm")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in ppm.score(docs, F.col("doc_id") == 4).filter("doc_id <> 3").collect()}
+    for i, t in rows:
+        if i != 3:
+            assert found[i] == pytest.approx(model.score(t.encode()))
+    assert found[1] > found[0] + 2  # learned from twice
