@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sievestone.functions.columns import count_when, named
 from sievestone.operators.prepare import COMMA_NUMBER, CONTAINER, is_number
+from sievestone.session import ship
 from sievestone.sources.quoted_csv import read_quoted
 
 HEAD_BYTES, HEAD_LINES = 64 * 1024, 50
@@ -195,9 +196,28 @@ def load_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return df, {"format": "csv", **info}
 
 
+def _hashed(batches):
+    """`batches` of (path, bytes) with the digest of each local file, read piece by piece."""
+    import hashlib
+
+    import pyarrow as pa
+
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
+                digests.append(hashlib.file_digest(file, "sha256").hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 per file; each file is hashed where it is read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, sha256 per file; each file is hashed where it is read. Local files are read piece by piece, whatever their size; a file of
+    another system comes as one value, which Spark refuses beyond 2 GB."""
+    files = spark.read.format("binaryFile").load(path)
+    if files.filter(~F.col("path").startswith("file:")).limit(1).count():
+        return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    ship(spark)
+    return files.select("path", F.col("length").alias("bytes")).mapInArrow(_hashed, "path string, bytes long, sha256 string")
 
 
 def parse_json_column(df: DataFrame, column: str, schema: str) -> DataFrame:
