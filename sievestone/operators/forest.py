@@ -261,7 +261,7 @@ def _histograms(plan: _Plan, level: int, group: list[int], grown_of):
 def _impurity(sums: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, Gini impurity or variance) along the last axis."""
     n = sums.sum(-1) if classes else sums[..., 0]
-    safe = np.maximum(n, 1e-300)
+    safe = np.maximum(n, 0.5)  # counts are whole; an empty side holds rounding errors only
     return n, 1 - ((sums / safe[..., None]) ** 2).sum(-1) if classes else np.maximum(sums[..., 2] / safe - (sums[..., 1] / safe) ** 2, 0.0)
 
 
